@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import Workspace
-from . import leakage, packing
+from . import leakage, packing, stuffing
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,5 +26,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(_read(spark, d, "documents"), _read(spark, d, "heldout"))
 
 
-QUERIES = {f.__name__: f for f in (p6_packed, p6_summary, p7_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.find_stuffed(_read(spark, d, "documents"), Workspace(spark, "stuffing"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The spam share of every document."""
+    ws = Workspace(spark, "stuffing")
+    feats = ws.table(stuffing.block_features(_read(spark, d, "documents")), "features")
+    return stuffing.judge(feats, ws.table(stuffing.calibrate(feats), "thresholds"))
+
+
+QUERIES = {f.__name__: f for f in (p6_packed, p6_summary, p7_found, p8_found, p8_scores)}
 SQL: dict[str, str] = {}
