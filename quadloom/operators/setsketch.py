@@ -280,20 +280,33 @@ def merge(parts: DataFrame, config: Config = Config(), salts: int = 0) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sk, done = None, None, []
+        small: list[bytes] = []  # hashes of the group at hand that aren't in its sketch yet
+
+        def settle() -> None:
+            if small:
+                sk.add_hashes(np.frombuffer(b"".join(small), "<i8"))
+                small.clear()
+
         for b in batches:
             rows = [b.column(b.schema.get_field_index(k)).to_pylist() for k in keys]
             for raw, *key in zip(b.column(b.schema.get_field_index("sketch")).to_pylist(), *rows):
                 key = tuple(key)
                 if key != at:
                     if sk is not None:
+                        settle()
                         done.append((at, sk))
-                    at, sk = key, Sketch.load(config, raw)
+                    at, sk = key, Sketch(config)
+                if raw[:1] == b"S":
+                    small.append(raw[1:])
+                    if len(small) >= 1024:
+                        settle()
                 else:
                     sk.merge(Sketch.load(config, raw))
                 if len(done) >= HELD:
                     yield _batch(schema, done)
                     done = []
         if sk is not None:
+            settle()
             done.append((at, sk))
         if done:
             yield _batch(schema, done)
