@@ -46,6 +46,27 @@ class Value:
 UNBOUND = Value(F.lit(None).cast("string"), STRING)
 
 
+def let(cols: list[Column], fn: Callable[..., Column]) -> Column:
+    """fn of columns that are evaluated once: fn may use them often without copies of their expressions in the plan."""
+    one = F.struct(*[c.alias(f"a{i}") for i, c in enumerate(cols)])
+    return F.get(F.transform(F.array(one), lambda z: fn(*[z[f"a{i}"] for i in range(len(cols))])), F.lit(0))
+
+
+def let_values(args: list[Value], fn: Callable[[list[Value]], Value]) -> Value:
+    """fn of values; where one of them varies in type, its column stands in the result once."""
+    if not any(a.form.kind == "term" and a.const is None for a in args):
+        return fn(args)
+    form: list[Form] = []
+
+    def body(*cols: Column) -> Column:
+        got = fn([Value(c, a.form, a.const) for c, a in zip(cols, args)])
+        form[:] = [got.form]
+        return got.col
+
+    col = let([a.col for a in args], body)
+    return Value(col, form[0])
+
+
 @dataclass(frozen=True)
 class Num:
     """tier is an int where it is constant; native is then the native column."""
@@ -135,6 +156,10 @@ def ebv(v: Value) -> Column:
         return F.lit(None).cast("boolean")
     if v.form.kind != "term":
         return F.lit(None).cast("boolean")
+    return let([v.col], lambda c: _term_ebv(Value(c, TERMS)))
+
+
+def _term_ebv(v: Value) -> Column:
     c, n = v.col, num(v)
     dt = c["dt"]
     number = F.when(dt.isin(*TIER, *[f"xsd:{x}" for x in INTEGERS]), F.coalesce((n.dbl != 0) & ~F.isnan(n.dbl), F.lit(False)))
@@ -146,6 +171,11 @@ def _instant(c: Column) -> Column:
 
 
 def compare(op: str, a: Value, b: Value) -> Column:
+    """As _compare; terms are evaluated once."""
+    return let_values([a, b], lambda x: Value(_compare(op, *x), BOOL)).col
+
+
+def _compare(op: str, a: Value, b: Value) -> Column:
     """= != < <= > >= with values of numbers, strings, booleans and dates; else term equality for = and !=, and an error for order."""
     apply = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
     none = F.lit(None).cast("boolean")
@@ -207,11 +237,15 @@ def sort_key(v: Value) -> Column:
         return v.col
     if v.form.kind == "key":
         return v.form.text(v.col)
-    c, n = v.term(), num(Value(v.term(), TERMS))
+    return let([v.term()], _term_key)
+
+
+def _term_key(c: Column) -> Column:
+    n = num(Value(c, TERMS))
     dt = c["dt"]
     rank = F.when(n.tier_col.isNotNull(), 0).when(dt == "xsd:dateTime", 1).when(dt == "xsd:date", 2).when(dt == "xsd:boolean", 3).when(dt == "xsd:string", 4).when(dt == "rdf:langString", 5).otherwise(6)
     at = F.when(dt == "xsd:dateTime", typed(_instant(c), "dateTime")).when(dt == "xsd:date", canonical(c["v"], "date").try_cast("date").cast("timestamp_ntz"))
-    return F.when(v.col.isNotNull(), F.struct(c["k"].alias("k"), F.when(c["k"] == 2, rank).alias("r"), n.dbl.alias("d"), n.dec.alias("x"), at.alias("t"), F.when(n.tier_col.isNull(), c["v"]).alias("v"), dt.alias("dt"), c["lang"].alias("lang")))
+    return F.when(c.isNotNull(), F.struct(c["k"].alias("k"), F.when(c["k"] == 2, rank).alias("r"), n.dbl.alias("d"), n.dec.alias("x"), at.alias("t"), F.when(n.tier_col.isNull(), c["v"]).alias("v"), dt.alias("dt"), c["lang"].alias("lang")))
 
 
 # ---- strings ----
@@ -332,6 +366,12 @@ def cast_to(kind: str, v: Value) -> Value:
 
 def call(name: str, args: list[Value]) -> Value:
     """A built-in function other than the logical ones and those that need the query's scope."""
+    if name in ("=", "!=", "<", "<=", ">", ">="):
+        return _call(name, args)
+    return let_values(args, lambda x: _call(name, x))
+
+
+def _call(name: str, args: list[Value]) -> Value:
     a = args[0] if args else None
     b = args[1] if len(args) > 1 else None
     if name in ("+", "-", "*", "/"):

@@ -133,7 +133,7 @@ class MappedGraph(Queryable):
     def __init__(self, tables: dict[str, Table], base: str = "http://data.example/", ns: str = "http://data.example/ns#"):
         self.spark = next(iter(tables.values())).df.sparkSession
         self.tables, self.base, self.ns = tables, base, ns
-        self.branches: list[tuple[str, str, Relation]] = []
+        self.branches: list[tuple[str, str, dict[str, Form]]] = []
         self.exprs: dict[tuple[str, str], Column] = {}
         for name, t in tables.items():
             cols = [F.col(k) for k in t.key]
@@ -156,11 +156,16 @@ class MappedGraph(Queryable):
 
     def _add(self, name: str, p: str, t: Table, s: Column, o: Column, form: Form) -> None:
         self.exprs[name, ""], self.exprs[name, p] = s, o
+        self.branches.append((name, p, {"s": Form("key", self.base + name + "/"), "p": IRIS, "o": form, "g": Form("key", self.base + "graph/")}))
+
+    def _relation(self, branch: tuple[str, str, dict[str, Form]]) -> Relation:
+        name, p, forms = branch
+        t = self.tables[name]
         g = F.lit(name) if t.named else F.lit(None).cast("string")
-        df = t.df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), g.alias("g")).where("s IS NOT NULL AND o IS NOT NULL")
-        self.branches.append((name, p, Relation(df, {"s": Form("key", self.base + name + "/"), "p": IRIS, "o": form, "g": Form("key", self.base + "graph/")})))
+        df = t.df.select(self.exprs[name, ""].alias("s"), F.lit(p).alias("p"), self.exprs[name, p].alias("o"), g.alias("g"))
+        return Relation(df.where("s IS NOT NULL AND o IS NOT NULL"), forms)
 
-    def _visible(self, which) -> list[tuple[str, str, Relation]]:
+    def _visible(self, which) -> list[tuple[str, str, dict[str, Form]]]:
         if which is None:
             return self.branches
         named = {n for n, t in self.tables.items() if t.named}
@@ -175,7 +180,7 @@ class MappedGraph(Queryable):
             some = [b for b in some if IRI(b[1]) in p]
         elif isinstance(p, tuple):
             some = [b for b in some if IRI(b[1]) not in p[1]]
-        return [b[2] for b in some]
+        return [self._relation(b) for b in some]
 
     def star(self, predicates: list[str], which) -> Relation | None:
         """Columns s, o0, o1, ... and g of one table for several predicates of one subject, if they are all columns of it alone; the key is unique, so this equals the join of the branches."""
@@ -184,7 +189,7 @@ class MappedGraph(Queryable):
             return None
         name = found[0][0][0]
         t = self.tables[name]
-        forms = {"s": found[0][0][2].forms["s"], "g": found[0][0][2].forms["g"]} | {f"o{i}": f[0][2].forms["o"] for i, f in enumerate(found)}
+        forms = {"s": found[0][0][2]["s"], "g": found[0][0][2]["g"]} | {f"o{i}": f[0][2]["o"] for i, f in enumerate(found)}
         cols = [self.exprs[name, p].alias(f"o{i}") for i, p in enumerate(predicates)]
         df = t.df.select(self.exprs[name, ""].alias("s"), *cols, (F.lit(name) if t.named else F.lit(None).cast("string")).alias("g"))
         return Relation(df.where(" AND ".join(f"{c} IS NOT NULL" for c in ["s", *(f"o{i}" for i in range(len(cols)))])), forms)
@@ -192,7 +197,8 @@ class MappedGraph(Queryable):
     def nodes(self, which) -> Nodes:
         out = None
         g = Form("key", self.base + "graph/")
-        for _, _, r in self._visible(which):
+        for b in self._visible(which):
+            r = self._relation(b)
             for c in ("s", "o"):
                 part = r.df.select(r.forms[c].term(F.col(c)).alias("node"), "g").distinct()
                 out = part if out is None else out.union(part)

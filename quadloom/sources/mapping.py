@@ -23,6 +23,17 @@ DEFAULT_GRAPH = ("region", "nation")
 LANGUAGES = {"documents": ("text", "lang"), "heldout": ("text", "lang")}
 
 
+_GRAPHS: dict[tuple, MappedGraph] = {}
+
+
 def mapped(spark: SparkSession, d: str, tables: list[str] | None = None) -> MappedGraph:
     """The tables of a folder of Parquet files (those named, or all) as a graph; region and nation lie in the default graph."""
+    # only schemas are kept: the files are listed once a session
+    at = (spark.sparkContext.applicationId, d, tuple(tables or ()))
+    if at not in _GRAPHS:
+        _GRAPHS[at] = _mapped(spark, d, tables)
+    return _GRAPHS[at]
+
+
+def _mapped(spark: SparkSession, d: str, tables: list[str] | None) -> MappedGraph:
     return MappedGraph({n: Table(spark.read.parquet(f"{d}/{n}.parquet"), k, links, n not in DEFAULT_GRAPH, LANGUAGES.get(n)) for n, (k, links) in KEYS.items() if tables is None or n in tables})
