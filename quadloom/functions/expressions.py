@@ -34,6 +34,7 @@ class Value:
     col: Column
     form: Form
     const: Literal | IRI | None = None
+    void: bool = False  # never bound
 
     def term(self) -> Column:
         return self.form.term(self.col)
@@ -43,7 +44,8 @@ class Value:
         return self.form.datatype if self.form.kind == "lit" else ""
 
 
-UNBOUND = Value(F.lit(None).cast("string"), STRING)
+def unbound() -> Value:
+    return Value(F.lit(None).cast("string"), STRING, None, True)
 
 
 def let(cols: list[Column], fn: Callable[..., Column]) -> Column:
@@ -317,7 +319,7 @@ def _date_part(v: Value, i: int) -> Column:
 def _rounded(name: str, v: Value) -> Value:
     n = num(v)
     if n is None:
-        return UNBOUND
+        return unbound()
     half = F.lit("0.5").cast("decimal(2,1)")
     dec = {"ABS": F.abs(n.dec), "CEIL": F.ceil(n.dec), "FLOOR": F.floor(n.dec), "ROUND": F.floor(n.dec + half)}[name].try_cast("decimal(38,18)")
     # half up towards positive infinity; the sign of infinities and NaN stays
@@ -376,13 +378,13 @@ def _call(name: str, args: list[Value]) -> Value:
     b = args[1] if len(args) > 1 else None
     if name in ("+", "-", "*", "/"):
         x, y = num(a), num(b)
-        return UNBOUND if x is None or y is None else arithmetic(name, x, y).value()
+        return unbound() if x is None or y is None else arithmetic(name, x, y).value()
     if name == "U-":
         x = num(a)
-        return UNBOUND if x is None else arithmetic("-", static_num(F.lit(0).cast("bigint"), 1), x).value()
+        return unbound() if x is None else arithmetic("-", static_num(F.lit(0).cast("bigint"), 1), x).value()
     if name == "U+":
         x = num(a)
-        return UNBOUND if x is None else x.value()
+        return unbound() if x is None else x.value()
     if name in ("=", "!=", "<", "<=", ">", ">="):
         if a.const is not None and b.const is None:
             flip = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
@@ -408,7 +410,7 @@ def _call(name: str, args: list[Value]) -> Value:
         elif a.form.kind == "term":
             dt = a.col["dt"]
         else:
-            return UNBOUND
+            return unbound()
         iri = F.when(dt.startswith("xsd:"), F.concat(F.lit(XSD), F.substring(dt, 5, 1000))).when(dt == "rdf:langString", F.lit(RDF + "langString")).otherwise(dt)
         return Value(iri, Form("iri"))
     if name == "IRI":
@@ -525,10 +527,10 @@ def literal_value(t: Literal | IRI) -> Value:
 
 def unify(values: list[Value]) -> tuple[list[Column], Form]:
     """Columns of one common form."""
-    forms = {v.form for v in values if v is not UNBOUND}
+    forms = {v.form for v in values if not v.void}
     if len(forms) == 1:
         form = forms.pop()
-        return [v.col if v is not UNBOUND else F.lit(None) for v in values], form
+        return [v.col if not v.void else F.lit(None) for v in values], form
     if not forms:
         return [v.col for v in values], STRING
-    return [v.term() if v is not UNBOUND else F.lit(None) for v in values], TERMS
+    return [v.term() if not v.void else F.lit(None) for v in values], TERMS

@@ -180,7 +180,18 @@ class MappedGraph(Queryable):
             some = [b for b in some if IRI(b[1]) in p]
         elif isinstance(p, tuple):
             some = [b for b in some if IRI(b[1]) not in p[1]]
-        return [self._relation(b) for b in some]
+        by: dict[str, list] = {}
+        for b in some:
+            by.setdefault(b[0], []).append(b)
+        return [self._relation(bs[0]) if len(bs) == 1 else self._unpivoted(n, bs) for n, bs in by.items()]
+
+    def _unpivoted(self, name: str, branches: list) -> Relation:
+        """Several columns of a table by one scan of it."""
+        t = self.tables[name]
+        pairs = [F.struct(F.lit(p).alias("p"), forms["o"].term(self.exprs[name, p]).alias("o")) for _, p, forms in branches]
+        g = F.lit(name) if t.named else F.lit(None).cast("string")
+        df = t.df.select(self.exprs[name, ""].alias("s"), F.inline(F.array(*pairs)), g.alias("g"))
+        return Relation(df.where("s IS NOT NULL AND o IS NOT NULL"), {**branches[0][2], "o": TERMS})
 
     def star(self, predicates: list[str], which) -> Relation | None:
         """Columns s, o0, o1, ... and g of one table for several predicates of one subject, if they are all columns of it alone; the key is unique, so this equals the join of the branches."""
@@ -197,8 +208,7 @@ class MappedGraph(Queryable):
     def nodes(self, which) -> Nodes:
         out = None
         g = Form("key", self.base + "graph/")
-        for b in self._visible(which):
-            r = self._relation(b)
+        for r in self.scan(("not", []), which):
             for c in ("s", "o"):
                 part = r.df.select(r.forms[c].term(F.col(c)).alias("node"), "g").distinct()
                 out = part if out is None else out.union(part)

@@ -106,10 +106,9 @@ def build(links: DataFrame, ws: Workspace) -> Hierarchy:
     base = ws.table(base.select("id", "node", "parent", "par", F.coalesce("n_parents", F.lit(0)).alias("n_parents")), "base")
 
     # cycle separation and subtree sizes: dist is 2^k for rows whose pointer may go on
-    t = ws.table(base.select("id", "par", F.coalesce("par", "id").alias("ptr"), F.when(F.col("par").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.lit(1).cast("long").alias("size"), F.col("par").isNotNull().alias("open")), "t0")
+    t, n_open = ws.counted(base.select("id", "par", F.coalesce("par", "id").alias("ptr"), F.when(F.col("par").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.lit(1).cast("long").alias("size"), F.col("par").isNotNull().alias("open")), "open", "t0")
     k, was = 0, None
     while True:
-        n_open = t.where("open").count()
         if n_open == 0 or n_open == was:
             break
         was, reach = n_open, 1 << k
@@ -118,7 +117,7 @@ def build(links: DataFrame, ws: Workspace) -> Hierarchy:
         to = t.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("open").alias("open2"))
         moved = t.where("open").join(to, "ptr").select("id", "par", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), "size", F.col("open2").alias("open"))
         rest = t.where("NOT open").select("id", "par", "ptr", "dist", "size", "open")
-        new = ws.table(moved.unionByName(rest).join(add, "id", "left").select("id", "par", "ptr", "dist", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"), "open"), f"t{k + 1}")
+        new, n_open = ws.counted(moved.unionByName(rest).join(add, "id", "left").select("id", "par", "ptr", "dist", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"), "open"), "open", f"t{k + 1}")
         ws.drop(t)
         t, k = new, k + 1
     # a row that closed is at its root; size still lacks what lies at the last distances of exactly 2^k
@@ -130,11 +129,11 @@ def build(links: DataFrame, ws: Workspace) -> Hierarchy:
     # heavy child, chain heads by doubling along heavy links
     heavy = tree.where("par IS NOT NULL").groupBy("par").agg(F.max(F.struct("size", (-F.col("id")).alias("nid"))).alias("h")).select((-F.col("h.nid")).alias("id"), F.lit(True).alias("heavy"))
     c = tree.join(heavy, "id", "left").select("id", "par", F.when(F.col("heavy"), F.col("par")).otherwise(F.col("id")).alias("chain"), F.coalesce("heavy", F.lit(False)).alias("open"), F.when(F.col("heavy"), 1).otherwise(0).cast("long").alias("pos"))
-    c = ws.table(c, "c0")
-    while c.where("open").limit(1).count():
+    c, n_open = ws.counted(c, "open", "c0")
+    while n_open:
         to = c.select(F.col("id").alias("chain"), F.col("chain").alias("chain2"), F.col("pos").alias("pos2"), F.col("open").alias("open2"))
         moved = c.where("open").join(to, "chain").select("id", "par", F.col("chain2").alias("chain"), F.col("open2").alias("open"), (F.col("pos") + F.col("pos2")).alias("pos"))
-        new = ws.table(moved.unionByName(c.where("NOT open").select("id", "par", "chain", "open", "pos")), "c")
+        new, n_open = ws.counted(moved.unionByName(c.where("NOT open").select("id", "par", "chain", "open", "pos")), "open", "c")
         ws.drop(c)
         c = new
 
@@ -144,11 +143,11 @@ def build(links: DataFrame, ws: Workspace) -> Hierarchy:
     attach = c.select(F.col("id").alias("par"), F.col("chain").alias("up"), F.col("pos").alias("at"))
     h = heads.select(F.col("id"), "par", "before").join(attach, "par", "left")
     segs0 = F.when(F.col("up").isNotNull(), F.array(F.struct(F.col("up").alias("chain"), F.col("at").alias("upto")))).otherwise(F.array().cast("array<struct<chain:bigint,upto:bigint>>"))
-    d = ws.table(h.select(F.col("id").alias("chain"), F.col("up"), segs0.alias("segs"), F.when(F.col("up").isNotNull(), F.col("at") + 1 + F.col("before")).otherwise(F.lit(0)).cast("long").alias("off")), "d0")
-    while d.where("up IS NOT NULL").limit(1).count():
+    d, n_open = ws.counted(h.select(F.col("id").alias("chain"), F.col("up"), segs0.alias("segs"), F.when(F.col("up").isNotNull(), F.col("at") + 1 + F.col("before")).otherwise(F.lit(0)).cast("long").alias("off")), "up IS NOT NULL", "d0")
+    while n_open:
         to = d.select(F.col("chain").alias("up"), F.col("up").alias("up2"), F.col("segs").alias("segs2"), F.col("off").alias("off2"))
         moved = d.where("up IS NOT NULL").join(to, "up").select("chain", F.col("up2").alias("up"), F.concat("segs2", "segs").alias("segs"), (F.col("off") + F.col("off2")).alias("off"))
-        new = ws.table(moved.unionByName(d.where("up IS NULL").select("chain", "up", "segs", "off")), "d")
+        new, n_open = ws.counted(moved.unionByName(d.where("up IS NULL").select("chain", "up", "segs", "off")), "up IS NOT NULL", "d")
         ws.drop(d)
         d = new
     placed = tree.join(c.select("id", "chain", "pos"), "id").join(d.select("chain", "off"), "chain").select("id", "root", "depth", "size", "chain", "pos", (F.col("off") + F.col("pos")).alias("lft"))
@@ -174,10 +173,10 @@ def _circles(rows: DataFrame, ws: Workspace) -> DataFrame:
         ws.drop(f)
         f = new
     on = f.select(F.col("ptr").alias("id")).distinct()
-    m = ws.table(rows.join(on, "id", "left_semi").select("id", F.col("par").alias("ptr"), F.col("id").alias("least"), F.lit(True).alias("moved")), "m0")
-    while m.where("moved").limit(1).count():
+    m, n_open = ws.counted(rows.join(on, "id", "left_semi").select("id", F.col("par").alias("ptr"), F.col("id").alias("least"), F.lit(True).alias("moved")), "moved", "m0")
+    while n_open:
         to = m.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("least").alias("least2"))
-        new = ws.table(m.join(to, "ptr").select("id", F.col("ptr2").alias("ptr"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")), "m")
+        new, n_open = ws.counted(m.join(to, "ptr").select("id", F.col("ptr2").alias("ptr"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")), "moved", "m")
         ws.drop(m)
         m = new
     return f.join(m.select(F.col("id").alias("ptr"), F.col("least").alias("root")), "ptr").select("id", "root")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..functions.expressions import BOOL, DEC, INT, STRING, UNBOUND, Value
+from ..functions.expressions import BOOL, DEC, INT, STRING, Value, unbound
 from ..functions.terms import IRI, TERMS, BNode, Form, Literal, Term
 from . import parser as P
 from .parser import UnsupportedSparql, Var
@@ -222,8 +222,8 @@ class Compiler:
         cols, slots = [], {}
         for i, n in enumerate(v.names):
             terms = [r[i] for r in v.rows]
-            consts = [X.literal_value(t) if t is not None else UNBOUND for t in terms]
-            known = {(c.form, "") for c in consts if c is not UNBOUND}
+            consts = [X.literal_value(t) if t is not None else unbound() for t in terms]
+            known = {(c.form, "") for c in consts if not c.void}
             exact = all(t is None or isinstance(t, IRI) or t.datatype in ("xsd:string", "xsd:boolean") or (t.datatype == "xsd:integer" and str(int(t.value)) == t.value) for t in terms if not isinstance(t, Literal) or t.datatype != "x")
             if len(known) == 1 and exact:
                 xs, form = X.unify(consts)
@@ -463,7 +463,7 @@ class Compiler:
         if isinstance(e, Var):
             if e.name in s.vars:
                 return s.value(e.name)
-            return X.literal_value(self.bindings[e.name]) if e.name in self.bindings else UNBOUND
+            return X.literal_value(self.bindings[e.name]) if e.name in self.bindings else unbound()
         if isinstance(e, (IRI, Literal)):
             return X.literal_value(e)
         if isinstance(e, BNode):
@@ -505,7 +505,7 @@ class Compiler:
                 s = self.extend(s, e, n)
                 names[e] = n
             elif n not in s.vars:
-                s = s.with_value(n, UNBOUND)
+                s = s.with_value(n, unbound())
             keys.append(n)
         todo: list[tuple[P.Aggregate, str, Value | None]] = []
         for a in dict.fromkeys(aggs):

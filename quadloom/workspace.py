@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +42,12 @@ class Workspace:
         out._quadloom_path = path
         return out
 
+    def counted(self, df: DataFrame, condition: str, name: str = "t") -> tuple[DataFrame, int]:
+        """A written table and the number of its rows for which the condition holds, counted while writing."""
+        seen = Observation()
+        out = self.table(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
+        return out, seen.get["n"] or 0
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables written here that nothing will read again."""
         jvm = self.spark._jvm
