@@ -231,17 +231,21 @@ def slots(packs: list[tuple[tuple[int, ...], int]], first: int) -> list[tuple[in
     return out
 
 
+def _sizes(capacities: DataFrame) -> DataFrame:
+    return capacities.where("capacity_id IS NOT NULL AND max_tokens >= 1").groupBy("capacity_id").agg(F.min("max_tokens").alias("max_tokens"))
+
+
 def pack(counts: DataFrame, capacities: DataFrame, ws: Workspace) -> DataFrame:
     """Places every document in containers of each capacity.
 
     counts: (doc_id, n_tokens), one row a document; capacities: (capacity_id, max_tokens). Gives capacity_id,
     container (numbered from 0), slot, pos (first token in the container), doc_id, piece, token_from, n_tokens.
-    Documents of no or null tokens need no space and give no row; capacities that are null or below 1 are left out.
-    Repeated doc_ids are items of their own. Extra columns are ignored.
+    Documents of no or null tokens need no space and give no row; capacities that are null or below 1 are left out,
+    and of several sizes under one capacity_id the smallest counts. Repeated doc_ids are items of their own. Extra columns are ignored.
     """
     spark = counts.sparkSession
-    caps = capacities.select("capacity_id", "max_tokens").where("capacity_id IS NOT NULL AND max_tokens >= 1").distinct()
-    sizes = [(r.capacity_id, r.max_tokens) for r in caps.orderBy("capacity_id", "max_tokens").collect()]  # a short list of sizes
+    caps = _sizes(capacities)
+    sizes = [(r.capacity_id, r.max_tokens) for r in caps.orderBy("capacity_id").collect()]  # a short list of sizes
     docs = counts.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
     split = docs.crossJoin(F.broadcast(caps)).select(
         "capacity_id", "doc_id", "n_tokens", F.col("max_tokens").cast("long").alias("cap"),
@@ -259,7 +263,8 @@ def pack(counts: DataFrame, capacities: DataFrame, ws: Workspace) -> DataFrame:
         hist[r.capacity_id][r.rest] = r.n
     filled = {r.capacity_id: r.n for r in fulls.groupBy("capacity_id").agg(F.sum("full").alias("n")).collect()}
     rows = [(c, *s) for c, size in sizes for s in slots(plan(hist[c], size), filled.get(c, 0))]
-    table = spark.createDataFrame(rows, "capacity_id int, rest long, rank_from long, rank_to long, container long, slot int, pos long").withColumn("capacity_id", F.col("capacity_id").cast(rests.schema["capacity_id"].dataType))
+    names = [T.StructField(n, T.IntegerType() if n == "slot" else T.LongType()) for n in ("rest", "rank_from", "rank_to", "container", "slot", "pos")]
+    table = spark.createDataFrame(rows, T.StructType([T.StructField("capacity_id", caps.schema["capacity_id"].dataType), *names]))
     on = (rests.capacity_id == table.capacity_id) & (rests.rest == table.rest) & (rests["rank"] >= table.rank_from) & (rests["rank"] < table.rank_to)
     # slots are bounded by the number of lengths and patterns, hence by the capacities
     placed = rests.join(F.broadcast(table), on).select(
@@ -271,5 +276,5 @@ def pack(counts: DataFrame, capacities: DataFrame, ws: Workspace) -> DataFrame:
 def summary(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """capacity_id, n_containers, n_tokens, least (containers that no packing can undercut by space) and fill (share of used space)."""
     got = packed.groupBy("capacity_id").agg((F.max("container") + 1).alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
-    joined = got.join(F.broadcast(capacities.select("capacity_id", "max_tokens").distinct()), "capacity_id")
+    joined = got.join(F.broadcast(_sizes(capacities)), "capacity_id")
     return joined.select("capacity_id", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("max_tokens")).cast("long").alias("least"), (F.col("n_tokens") / (F.col("n_containers") * F.col("max_tokens"))).alias("fill"))
