@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import statement_sql
 from .operators import chunks, hierarchy, rejects, setsketch, wide
 from .workspace import Workspace
 
@@ -122,4 +123,6 @@ SELECT u.anc AS node, u.node AS descendant, t.depth - a.depth AS distance FROM u
 UNION ALL SELECT 'subj', s.v FROM quads GROUP BY s.v HAVING count(*) >= 0.02 * (SELECT count(*) FROM quads)""",
     "p2_keys": """SELECT 'pred' AS pos, p AS key_iri, count(*) AS n_rows, min(stated_at) AS earliest, max(stated_at) AS latest, count(DISTINCT o) AS n_objects FROM quads WHERE p IS NOT NULL GROUP BY p
 UNION ALL SELECT 'subj', s.v, count(*), min(stated_at), max(stated_at), count(DISTINCT o) FROM quads WHERE s.v IS NOT NULL GROUP BY s.v""",
+    "p4_found": statement_sql.CELL_FAULTS,
+    "p5_found": statement_sql.LINE_REJECTS,
 }
