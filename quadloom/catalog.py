@@ -43,8 +43,7 @@ def _key_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     total = _read(spark, d, "quads").agg(F.count(F.lit(1)).alias("total"))
-    stats = _key_stats(spark, d)
-    return stats.join(F.broadcast(total), F.col("n_rows") >= F.col("total") * SHARE).select("pos", "key_iri")
+    return _key_stats(spark, d).where(F.col("n_rows") >= total.scalar() * SHARE).select("pos", "key_iri")
 
 
 def p2_keys(spark: SparkSession, d: str) -> DataFrame:
