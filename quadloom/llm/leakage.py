@@ -31,17 +31,16 @@ BLOCK = 1 << 16
 #: Characters of items that one pass holds on every executor; more items are searched in further passes.
 PASS_CHARS = 64_000_000
 
-_ESC = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([nrtbfav0])|([\"'/]))")
+_ESC = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|([nrtbf])|([\"/]))")
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 
 
 def _resolve(m: re.Match) -> str:
-    code = m[1] or m[2]
-    if code:
-        return chr(int(code, 16))
-    return " " if m[3] else m[4]
+    if m[1]:
+        return chr(int(m[1], 16))
+    return " " if m[2] else m[3]
 
 
 def resolved(text: str) -> str:

@@ -247,10 +247,8 @@ def pack(counts: DataFrame, capacities: DataFrame, ws: Workspace) -> DataFrame:
     caps = _sizes(capacities)
     sizes = [(r.capacity_id, r.max_tokens) for r in caps.orderBy("capacity_id").collect()]  # a short list of sizes
     docs = counts.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
-    split = docs.crossJoin(F.broadcast(caps)).select(
-        "capacity_id", "doc_id", "n_tokens", F.col("max_tokens").cast("long").alias("cap"),
-        F.floor(F.col("n_tokens") / F.col("max_tokens")).cast("long").alias("full"), (F.col("n_tokens") % F.col("max_tokens")).cast("long").alias("rest"),
-    )
+    each = F.array(*[F.struct(F.lit(c).cast(caps.schema["capacity_id"].dataType).alias("capacity_id"), F.lit(size).cast("long").alias("cap")) for c, size in sizes]) if sizes else F.array().cast(T.ArrayType(T.StructType([caps.schema["capacity_id"], T.StructField("cap", T.LongType())])))
+    split = docs.select("doc_id", "n_tokens", F.inline(each)).select("capacity_id", "doc_id", "n_tokens", "cap", F.floor(F.col("n_tokens") / F.col("cap")).cast("long").alias("full"), (F.col("n_tokens") % F.col("cap")).alias("rest"))
     # full pieces: containers of their own, numbered by the prefix sums of how many each document fills
     fulls = number_rows(split.where("full > 0").select("capacity_id", "doc_id", "cap", "full"), ["capacity_id"], ["doc_id", "full"], ws, out="at", value="full")
     whole = fulls.select("capacity_id", "doc_id", "cap", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece")).select(
