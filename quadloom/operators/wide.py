@@ -81,8 +81,8 @@ def _gather(keys: list[str], cells: DataFrame) -> DataFrame:
 
 
 def write_run(delta: DataFrame, ws: Workspace) -> DataFrame:
-    """A run of the log: deltas sorted by subject within their files."""
-    return ws.table(delta.repartitionByRange("subj", "batch").sortWithinPartitions("subj", "batch"), "run")
+    """A run of the log: the files of the deltas, hash-partitioned as they were built, each sorted by subject."""
+    return ws.table(delta.sortWithinPartitions("subj", "batch"), "run")
 
 
 def compact(runs: list[DataFrame]) -> DataFrame:
