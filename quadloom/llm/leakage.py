@@ -29,7 +29,7 @@ RUN = 12
 SHINGLE = 5
 BLOCK = 1 << 16
 #: Characters of items that one pass holds on every executor; more items are searched in further passes.
-PASS_CHARS = 64_000_000
+PASS_CHARS = 4_000_000
 
 _ESC = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|([nrtbf])|([\"/]))")
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
