@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import INTEGERS, IRI, RDF, TERMS, XSD, Form, Literal, constant, lexical, lit_form, make
-from .xsd import canonical, typed
+from .terms import INTEGERS, IRI, RDF, TERMS, XSD, BNode, Form, Literal, constant, lexical, lit_form, make
+from .xsd import canonical, typed, valid
 
 TIER = {"xsd:integer": 1, "xsd:decimal": 2, "xsd:float": 3, "xsd:double": 4}
 TIER_TYPE = {v: k for k, v in TIER.items()}
@@ -283,6 +283,8 @@ def _int(v: Value) -> Column:
 
 
 def as_str(v: Value) -> Column:
+    if isinstance(v.const, Literal):
+        return F.lit(v.const.value)
     c = v.form.text(v.col)
     return F.when(v.col["k"] != 0, c) if v.form.kind == "term" else c
 
@@ -504,11 +506,18 @@ def _call(name: str, args: list[Value]) -> Value:
     raise NotImplementedError(f"function {name}")
 
 
+def keeps_text(t: Literal | IRI | BNode) -> bool:
+    """Whether the native form of a constant has the constant's own text."""
+    if isinstance(t, Literal):
+        return t.datatype in ("xsd:string", "xsd:boolean") or (t.datatype == "xsd:integer" and t.value.lstrip("-").isdecimal() and t.value.isascii() and str(int(t.value)) == t.value)
+    return True
+
+
 def literal_value(t: Literal | IRI) -> Value:
-    """A constant, in its native type where its text is canonical."""
+    """A constant, in its native type where it is valid."""
     if isinstance(t, IRI):
         return Value(F.lit(t.value), Form("iri"), t)
-    if isinstance(t, Literal):
+    if isinstance(t, Literal) and t.datatype.startswith("xsd:") and valid(t.datatype[4:], t.value) and t.value == t.value.strip():
         kind = t.datatype
         if kind == "xsd:string":
             return Value(F.lit(t.value), STRING, t)
@@ -517,7 +526,7 @@ def literal_value(t: Literal | IRI) -> Value:
         if kind == "xsd:decimal":
             return Value(F.lit(t.value).try_cast("decimal(38,18)"), DEC, t)
         if kind == "xsd:double":
-            return Value(F.lit(float(t.value)) if t.value not in ("INF", "-INF") else F.lit(float(t.value.replace("INF", "inf"))), DBL, t)
+            return Value(F.lit(float(t.value)) if "INF" not in t.value else F.lit(float(t.value.replace("INF", "inf"))), DBL, t)
         if kind == "xsd:boolean" and t.value in ("true", "false"):
             return Value(F.lit(t.value == "true"), BOOL, t)
         if kind == "xsd:dateTime" and len(t.value) >= 19 and not t.value.rstrip("Z").endswith(("+", "-")) and "Z" not in t.value and "+" not in t.value[19:] and "-" not in t.value[19:]:

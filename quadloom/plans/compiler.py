@@ -223,12 +223,11 @@ class Compiler:
         for i, n in enumerate(v.names):
             terms = [r[i] for r in v.rows]
             consts = [X.literal_value(t) if t is not None else unbound() for t in terms]
-            known = {(c.form, "") for c in consts if not c.void}
-            exact = all(t is None or isinstance(t, IRI) or t.datatype in ("xsd:string", "xsd:boolean") or (t.datatype == "xsd:integer" and str(int(t.value)) == t.value) for t in terms if not isinstance(t, Literal) or t.datatype != "x")
-            if len(known) == 1 and exact:
+            known = {c.form for c in consts if not c.void}
+            if len(known) == 1 and all(t is None or X.keeps_text(t) for t in terms):
                 xs, form = X.unify(consts)
             else:
-                xs, form = [Value(X.constant(t), TERMS).col if t is not None else F.lit(None) for t in terms], TERMS
+                xs, form = [X.constant(t) if t is not None else F.lit(None) for t in terms], TERMS
             slots[n] = Slot(form, any(t is None for t in terms))
             cols.append(xs)
         row = [F.struct(*[c[j].alias(column(n)) for n, c in zip(v.names, cols)]) for j in range(len(v.rows))]
@@ -347,9 +346,7 @@ class Compiler:
             return Solutions(df.where(F.col(column(gvar)).isNotNull()) if gvar else df, slots)
         else:
             var, const = (s, o) if isinstance(s, Var) else (o, s)
-            v = X.literal_value(const)
-            if v.form.kind == "lit":
-                v = Value(X.constant(const), TERMS)
+            v = X.literal_value(const) if X.keeps_text(const) else Value(X.constant(const), TERMS)
             out = unit(self.spark).with_value(var.name, Value(v.col, v.form), False)
         if gvar:
             nodes = self.source.nodes(self.graph_filter(graph))
@@ -455,7 +452,7 @@ class Compiler:
     def extend(self, s: Solutions, e: Any, name: str) -> Solutions:
         if _has_exists(e):
             s, e = self.flag_exists(s, e, None)
-        v = self.expr(s, e)
+        v = Value(X.constant(e), TERMS) if isinstance(e, Literal) and not X.keeps_text(e) else self.expr(s, e)
         nullable = not (isinstance(e, (IRI, Literal)) or (isinstance(e, Var) and e.name in s.vars and not s.vars[e.name].nullable))
         return s.with_value(name, v, nullable)
 
