@@ -38,6 +38,12 @@ FUNCTION_WORDS = {
     "es": "el la los las un una unos unas de del al y o u pero a en por para con sin como es son era eran ser fue ha han había se su sus lo le les que qué quien cuando donde si no ni más menos muy también ya solo luego después antes porque mientras aunque entre sobre hasta desde este esta estos estas ese esa eso nos vamos hay",
 }
 _FW = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LISTS = tuple(_FW.values())
+#: word -> bits of the languages that have it as a function word
+_BITS = {w: sum(1 << i for i, ws in enumerate(_LISTS) if w in ws) for w in frozenset().union(*_LISTS)}
+_MARKS = "()[]{}=_;\\%&+<>$^"
+_LEADING = frozenset(" \t\v\f>*•|#-0123456789")
+_SEPARATORS = ",;|/#:•·~"
 
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
 _MARKUP_KEYS = frozenset("cell_type output_type name id execution_count kernelspec display_name language language_info version file_extension mimetype codemirror_mode pygments_lexer nbconvert_exporter nbformat nbformat_minor collapsed".split())
@@ -70,7 +76,9 @@ def contents(text: str) -> list[str]:
                 key, skip = m[1], m[1] in _MARKUP_KEYS
             elif not skip and key:
                 s = m[1]
-                if "\\" in s:
+                if s.count("\\") == 1 and s.endswith("\\n"):
+                    s = s[:-2] + "\n"
+                elif "\\" in s:
                     try:
                         s = json.loads(f'"{s}"', strict=False)
                     except ValueError:
@@ -91,32 +99,38 @@ def contents(text: str) -> list[str]:
 
 
 class _Block:
-    __slots__ = ("lines", "chars", "words", "seps", "kind")
+    __slots__ = ("lines", "chars", "words", "bits", "seps", "kind")
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.chars, self.words, self.seps, self.kind = 0, [], 0, -1
+        self.chars, self.words, self.bits, self.seps, self.kind = 0, [], [], 0, -1
 
 
-def _functional(words: list[str]) -> tuple[int, frozenset[str]]:
-    """The language whose function words are most frequent: their number and the list."""
-    return max(((sum(map(known.__contains__, words)), known) for known in _FW.values()), key=lambda x: x[0])
+def _by_language(bits: list[int]) -> list[int]:
+    """How many of the words with these bits are function words of each language."""
+    out = [bits.count(1 << i) for i in range(len(_LISTS))]
+    if sum(out) < len(bits):
+        for b in bits:
+            if b & (b - 1):
+                for i in range(len(_LISTS)):
+                    out[i] += b >> i & 1
+    return out
 
 
 def _finish(b: _Block, kw: Counter) -> dict | None:
     n = len(b.words)
     if not n:
         return None
-    fw, functional = _functional(b.words)
-    rest = [w for w in b.words if w not in functional]
-    counts = Counter(rest).most_common(2)
-    top = sum(c for _, c in counts)
-    grams = Counter(zip(b.words, b.words[1:]))
-    again = sum(c for c in grams.values() if c > 1)
-    lines = Counter(b.lines)
+    by = _by_language(b.bits)
+    fw = max(by)
+    functional = _LISTS[by.index(fw)]
+    rest = [w for w in b.words if w not in functional] if fw else b.words
+    top = sum(sorted(Counter(rest).values())[-2:])
+    pairs = Counter(zip(b.words, b.words[1:]))
+    again = n - 1 - list(pairs.values()).count(1)
     if fw <= 0.1 * n and n >= LEAST:
         kw.update(rest)
-    return {"chars": b.chars, "words": n, "fw": fw / n, "top": top / max(len(rest), 1), "gram": again / max(n - 1, 1), "dup": 1 - len(lines) / len(b.lines), "sep": b.seps / n}
+    return {"chars": b.chars, "words": n, "fw": fw / n, "top": top / max(len(rest), 1), "gram": again / max(n - 1, 1), "dup": 1 - len(set(b.lines)) / len(b.lines), "sep": b.seps / n}
 
 
 def features(text: str | None) -> dict:
@@ -124,10 +138,11 @@ def features(text: str | None) -> dict:
     out = {"chars": 0, "links": 0, "link_chars": 0, "code_chars": 0, "lang_by_words": None, "kw_words": 0, "kw_distinct": 0, "kw_top": 0.0, "blocks": []}
     if not text:
         return out
-    votes: Counter = Counter()
-    pending: list[tuple[str, int, str, list[str]]] = []
+    votes = [0] * len(_LISTS)
+    cut = ("cut", 0, "", [], [])
+    pending: list[tuple[str, int, str, list[str], list[int]]] = []
     for cell in contents(text):
-        pending.append(("cut", 0, "", []))
+        pending.append(cut)
         for raw in cell.replace("\r", "\n").split("\n"):
             if not raw or raw.isspace():
                 continue
@@ -142,11 +157,18 @@ def features(text: str | None) -> dict:
                 if not chars:
                     continue
                 out["chars"] += chars
+                if line.lower() == line.upper():  # no letters: numbers and rules
+                    out["code_chars"] += chars
+                    if _WORD.search(line):
+                        pending.append(cut)
+                    continue
                 if len(line) > 200 and " " not in line:
                     if not line.startswith("#") and line.count("http") < 3 and line.count(",") * 40 < len(line):
                         out["code_chars"] += chars
                         continue
-                s = _QUOTED.sub("", _LEAD.sub("", line))
+                s = _LEAD.sub("", line) if line[0] in _LEADING else line
+                if '"""' in s or "'''" in s:
+                    s = _QUOTED.sub("", s)
                 if "base64," in s:  # an embedded image is output
                     s = _DATA.sub(" ", s)
                     blob = chars - (len(s) - s.count(" ") - s.count("\t"))
@@ -172,20 +194,21 @@ def features(text: str | None) -> dict:
                     out["links"] += links
                     out["link_chars"] += chars
                     out["kw_words"] += len(ws) + links
-                    pending.append(("cut", 0, "", []))
+                    pending.append(cut)
                     continue
                 if not ws:
                     out["code_chars"] += chars
                     continue
-                marks = sum(map(s.count, "()[]{}=_;\\%&+<>$^"))
+                marks = sum(map(s.count, _MARKS))
                 if sum(map(str.isdigit, ws)) > 0.5 * len(ws) or marks > 0.6 * len(ws) or (len(ws) < 30 and _CODE.search(s)):
                     out["code_chars"] += chars
-                    pending.append(("cut", 0, "", []))
+                    pending.append(cut)
                     continue
-                for lang, known in _FW.items():
-                    votes[lang] += sum(map(known.__contains__, ws))
-                pending.append((s.strip(), chars, s, ws))
-    lang = votes.most_common(1)[0][0] if votes and votes.most_common(1)[0][1] else None
+                bits = list(filter(None, map(_BITS.get, ws)))
+                if bits:
+                    votes = [x + y for x, y in zip(votes, _by_language(bits))]
+                pending.append((s.strip(), chars, s, ws, bits))
+    lang = list(_FW)[votes.index(max(votes))] if any(votes) else None
     out["lang_by_words"] = lang
     kw: Counter = Counter()
     block = _Block()
@@ -197,18 +220,20 @@ def features(text: str | None) -> dict:
             out["blocks"].append(got)
         block = _Block()
 
-    for line, chars, s, ws in pending:
-        if line == "cut":
+    for at in pending:
+        line, chars, s, ws, bits = at
+        if at is cut:
             close()
             continue
-        kind = -1 if len(ws) < 4 else int(_functional(ws)[0] > 0.1 * len(ws))
+        kind = -1 if len(ws) < 4 else int(bool(bits) and max(_by_language(bits)) > 0.1 * len(ws))
         if block.words and kind >= 0 and block.kind >= 0 and kind != block.kind:
             close()
         block.kind = max(block.kind, kind) if block.kind < 0 else block.kind
         block.lines.append(line)
         block.chars += chars
         block.words += ws
-        block.seps += sum(map(s.count, ",;|/#:•·~"))
+        block.bits += bits
+        block.seps += sum(map(s.count, _SEPARATORS))
         if len(block.words) >= BLOCK:
             close()
     close()
