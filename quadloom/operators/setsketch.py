@@ -222,8 +222,16 @@ def _batch(schema: T.StructType, rows: Iterable[tuple[tuple, Sketch]]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(cols, target)], schema=target)
 
 
-#: Groups that a task holds before it sends their partial sketches on; sketches have a fixed greatest size.
-HELD = 4096
+def _batches(schema: T.StructType, held: dict[tuple, Sketch]) -> Iterator[pa.RecordBatch]:
+    rows = list(held.items())
+    for i in range(0, len(rows), ROWS):
+        yield _batch(schema, rows[i : i + ROWS])
+
+
+#: Bytes of sketches that a task holds before it sends them on as partials, and what a sketch takes besides its hashes.
+HELD_BYTES, OBJECT_BYTES = 64 << 20, 400
+#: Merged sketches that are sent on at once.
+ROWS = 4096
 
 
 def partials(df: DataFrame, keys: list[str], hash_col: str, config: Config = Config()) -> DataFrame:
@@ -236,6 +244,7 @@ def partials(df: DataFrame, keys: list[str], hash_col: str, config: Config = Con
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
+        weight = 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -259,12 +268,13 @@ def partials(df: DataFrame, keys: list[str], hash_col: str, config: Config = Con
                 sk = held.get(k)
                 if sk is None:
                     sk = held[k] = Sketch(config)
+                    weight += OBJECT_BYTES
                 sk.add_hashes(h[s:e])
-            if len(held) > HELD:
-                yield _batch(schema, held.items())
-                held = {}
-        if held:
-            yield _batch(schema, held.items())
+            weight += 8 * len(h)
+            if weight > HELD_BYTES:
+                yield from _batches(schema, held)
+                held, weight = {}, 0
+        yield from _batches(schema, held)
 
     slim = df.where(F.col(hash_col).isNotNull()).select(*keys, hash_col)
     return slim.mapInArrow(run, schema)
@@ -302,7 +312,7 @@ def merge(parts: DataFrame, config: Config = Config(), salts: int = 0) -> DataFr
                         settle()
                 else:
                     sk.merge(Sketch.load(config, raw))
-                if len(done) >= HELD:
+                if len(done) >= ROWS:
                     yield _batch(schema, done)
                     done = []
         if sk is not None:
@@ -337,11 +347,10 @@ def roll_up(finest: DataFrame, keys: list[str], config: Config = Config()) -> Da
                     up.merge(sk)
             if fine:
                 yield _batch(schema, fine)
-            if len(held) > HELD:
-                yield _batch(schema, held.items())
+            if len(held) * (2 * config.m + OBJECT_BYTES) > HELD_BYTES:
+                yield from _batches(schema, held)
                 held = {}
-        if held:
-            yield _batch(schema, held.items())
+        yield from _batches(schema, held)
 
     return merge(finest.mapInArrow(run, schema), config)
 
