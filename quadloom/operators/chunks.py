@@ -1,10 +1,11 @@
 """Exact offset chunking: per-key work without tasks that grow with the hottest key.
 
 Rows are range-partitioned by (key, order), so a key that owns a third of the table is spread over a third of
-the tasks. Each partition counts its keys, the counts' prefix sums give every partition the exact offset at
-which its first key goes on, and with them every row gets its exact number within its key (``number_rows``) or
-every chunk its ordered boundary state (``key_states``). Nothing that is broadcast or held by one task is larger
-than one row for each partition.
+the partitions. Each partition counts the rows of its keys, the counts' prefix sums give every partition the exact
+offset at which its first key goes on, and with them every row gets its exact number within its key
+(``number_rows``). Row numbers cut each key into equal-sized chunks, which are processed where they lie and merged
+by their ordered boundary states (``key_states``). Nothing that is broadcast or held by one task is larger than one
+row for each partition.
 
 Ties: give an ``order`` that ends in a unique column. Range partitioning can't cut between equal rows, so equal
 rows of one (key, order) would stay together; the numbering would still be exact.
@@ -62,12 +63,13 @@ def number_rows(
     ws: Workspace,
     out: str = "row_no",
     value: str | None = None,
+    position: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Adds the exact running total before each row within its key, in the given order.
 
     Without ``value`` every row counts 1 and ``out`` is the row's number from 0; with ``value`` (an integer
     column, null as 0) it is the exclusive prefix sum. ``keys`` are flat columns and may be empty (one global
-    numbering). Null keys form one group. An empty table gives an empty table. ``out`` and names that begin with
+    numbering). ``position`` names two more columns: the sorted run of a row and its place there. Null keys form one group. An empty table gives an empty table. ``out`` and names that begin with
     ``_ch_`` must not be columns of ``df``.
     """
     if out in df.columns or any(c.startswith("_ch_") for c in df.columns):
@@ -133,117 +135,126 @@ def number_rows(
     ordered = states.coalesce(1).sortWithinPartitions("_ch_pid").withColumnRenamed("_ch_pid", "pid")
     carries = ordered.select("pid", "first", "last", "tail", "whole").mapInPandas(carry, "_ch_pid int, _ch_carry long")
     joined = runs.join(F.broadcast(carries), "_ch_pid", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_ch_run") + F.when(F.col("_ch_lead"), F.coalesce("_ch_carry", F.lit(0))).otherwise(0)).alias(out))
+    place = [F.col("_ch_pid").alias(position[0]), F.col("_ch_idx").alias(position[1])] if position else []
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *place, (F.col("_ch_run") + F.when(F.col("_ch_lead"), F.coalesce("_ch_carry", F.lit(0))).otherwise(0)).alias(out))
 
 
-def key_states(df: DataFrame, keys: Sequence[str], distinct: Sequence[str], low_high: str, tie: str, ws: Workspace) -> DataFrame:
+def key_states(df: DataFrame, keys: Sequence[str], distinct: Sequence[str], low_high: str, tie: str, ws: Workspace, chunk_rows: int = 100_000) -> DataFrame:
     """Per key: rows, lowest and highest of a timestamp or integer column, exact distinct count of a group of columns.
 
-    The sorted runs are read as equal-sized chunks (Arrow batches). A chunk gives each of its keys a boundary
-    state: rows, low, high, distinct values, first and last value. States of one partition merge in order as they
-    come; a partition then has at most two keys that can go on in a neighbour, its first and its last. Only these
-    edges are shuffled again and merged in order: where a chunk begins with the value at which the one before
-    ended, the value counts once. Their prefix sums are the exact row offsets of the chunks (``first_row``).
+    Rows are numbered within their key in the order of (``distinct``, ``tie``); chunk i of a key holds its rows
+    i * chunk_rows and following. A task reads what lies in its files and gives each chunk, or the part of it that
+    it has, a boundary state: first row, rows, low, high, distinct values, first and last value. A key that begins
+    and ends within a file is final there. The other states, at most two for each file and one for each chunk of a
+    hot key, are merged in the order of their row numbers: where one begins with the value at which the one before
+    ended, the value counts once.
 
     A null ``low_high`` is left out of low and high. A value whose columns are all null isn't counted as distinct;
-    null keys form one group. Repeated rows all count in ``n``. Columns that aren't named are dropped, so names
+    null keys form one group. Repeated rows all count in ``n_rows``. Columns that aren't named are dropped, so names
     that clash can't matter.
     """
     keys, distinct = list(keys), list(distinct)
     lh = dict(df.dtypes)[low_high]
-    slim = df.select(*keys, *distinct, F.col(low_high).cast("long" if lh != "timestamp_ntz" else "timestamp").alias("_ch_ts") if lh != "timestamp" else F.col(low_high).alias("_ch_ts"), F.col(tie).alias("_ch_tie"))
-    if dict(slim.dtypes)["_ch_ts"] == "timestamp":
-        slim = slim.withColumn("_ch_ts", F.unix_micros("_ch_ts"))
-    by = [F.col(c) for c in [*keys, *distinct, "_ch_tie"]]
-    ks = [df.schema[k] for k in keys]
-    ds = [df.schema[d] for d in distinct]
-    first_last = [T.StructField(f"_ch_{w}_{i}", d.dataType) for w in ("f", "l") for i, d in enumerate(ds)]
+    at = F.col(low_high).cast("timestamp") if lh == "timestamp_ntz" else F.col(low_high)
+    at = F.unix_micros(at) if lh.startswith("timestamp") else at.cast("long")
+    names = [f"k{i}" for i in range(len(keys))] + [f"d{i}" for i in range(len(distinct))]
+    slim = df.select(*[F.col(c).alias(n) for c, n in zip([*keys, *distinct], names)], at.alias("at"), F.col(tie).alias("tie"))
+    kn, dn = names[: len(keys)], names[len(keys) :]
+    numbered = number_rows(slim, kn, [*dn, "tie"], ws, out="row_no", position=("pid", "idx")).drop("tie")
+    kf, df_ = [slim.schema[n] for n in kn], [slim.schema[n] for n in dn]
     schema = T.StructType(
-        [*(T.StructField(k.name, k.dataType) for k in ks), *(T.StructField(n, T.LongType()) for n in ("n", "lo", "hi", "d")), T.StructField("_ch_pid", T.IntegerType()), T.StructField("_ch_edge", T.IntegerType()), *first_last]
+        [*kf, *(T.StructField(n, T.LongType()) for n in ("first_row", "n", "lo", "hi", "d")), T.StructField("open", T.BooleanType()), *(T.StructField(f"{w}_{x.name}", x.dataType) for w in ("f", "l") for x in df_)]
     )
     big = np.iinfo(np.int64).max
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(schema)
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(target)], schema=target)
-
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        pid, pending, seen = TaskContext.get().partitionId(), None, False
+        pending: dict | None = None
 
-        def row(p: dict, edge: int | None) -> tuple:
-            lo, hi = (None, None) if p["lo"] == big else (p["lo"], p["hi"])
-            ends = (*p["first"], *p["last"]) if edge is not None else (None,) * (2 * len(ds))
-            return (*p["key"], p["n"], lo, hi, p["d"], pid, edge, *ends)
+        def emit(rows: list[dict]) -> pa.RecordBatch:
+            out = []
+            for r in rows:
+                lo, hi = (None, None) if r["lo"] == big else (r["lo"], r["hi"])
+                ends = (*r["first"], *r["last"]) if r["open"] else (None,) * (2 * len(df_))
+                out.append((*r["key"], r["row"], r["n"], lo, hi, r["d"], r["open"], *ends))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(target)], schema=target)
 
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            kc, dc = _arrays(b, keys), _arrays(b, distinct)
-            new_key = changed(kc, n)
-            new_key[0] = True
-            new_val = new_key | changed(dc, n)
+            kc, dc = _arrays(b, kn), _arrays(b, dn)
+            row, pid, idx = (np.asarray(x) for x in _arrays(b, ["row_no", "pid", "idx"]))
+            piece = np.ones(n, bool)  # a row that doesn't follow the one before in the sorted run
+            piece[1:] = (pid[1:] != pid[:-1]) | (idx[1:] != idx[:-1] + 1)
+            new_key = piece | changed(kc, n)
+            new_state = new_key | (row % chunk_rows == 0)
+            new_state[0] = True
+            new_val = new_state | changed(dc, n)
             known = np.zeros(n, bool)
             for c in dc:
                 known |= ~np.asarray(c.is_null().to_numpy(zero_copy_only=False), dtype=bool)
-            starts = np.flatnonzero(new_key)
+            starts = np.flatnonzero(new_state)
             ends = np.append(starts[1:], n) - 1
-            ts = _arrays(b, ["_ch_ts"])[0]
+            ts = _arrays(b, ["at"])[0]
             absent = np.asarray(ts.is_null().to_numpy(zero_copy_only=False), dtype=bool)
             tv = np.asarray(pc.fill_null(ts, 0))
             lo = np.minimum.reduceat(np.where(absent, big, tv), starts)
             hi = np.maximum.reduceat(np.where(absent, -big, tv), starts)
             cnt, dist = ends - starts + 1, np.add.reduceat((new_val & known).astype(np.int64), starts)
+            # whole keys: they begin with row 0 and another key follows them in the run
+            whole = np.zeros(len(starts), bool)
+            whole[:-1] = (row[starts[:-1]] == 0) & new_key[starts[1:]] & ~piece[starts[1:]]
 
             def state(i: int) -> dict:
                 s, e = int(starts[i]), int(ends[i])
-                return {"key": tuple(c[s].as_py() for c in kc), "n": int(cnt[i]), "lo": int(lo[i]), "hi": int(hi[i]), "d": int(dist[i]), "first": tuple(c[s].as_py() for c in dc), "last": tuple(c[e].as_py() for c in dc)}
-
-            head, done = state(0), []
-            if pending is not None and _same(pending["key"], head["key"]):
-                again = _same(pending["last"], head["first"]) and any(x is not None for x in head["first"])
-                head = pending | {"n": pending["n"] + head["n"], "lo": min(pending["lo"], head["lo"]), "hi": max(pending["hi"], head["hi"]), "d": pending["d"] + head["d"] - again, "last": head["last"]}
-            elif pending is not None:
-                done.append(row(pending, None if seen else 0))
-                seen = True
-            m = len(starts)
-            if m == 1:
-                pending = head
-            else:
-                done.append(row(head, None if seen else 0))
-                seen = True
-                pending = state(m - 1)
-                if m > 2:  # keys that begin and end inside this chunk: whole columns at once
-                    s = pa.array(starts[1:-1])
-                    inner = slice(1, m - 1)
-                    void = absent_lo = lo[inner] == big
-                    cols = [c.take(s) for c in kc]
-                    cols += [pa.array(cnt[inner].astype(np.int64)), pa.array(lo[inner], mask=void), pa.array(hi[inner], mask=absent_lo), pa.array(dist[inner])]
-                    cols += [pa.array(np.full(m - 2, pid, np.int32)), pa.nulls(m - 2, pa.int32()), *(pa.nulls(m - 2, f.type) for f in list(target)[-2 * len(ds) :])]
+                return {"key": tuple(c[s].as_py() for c in kc), "row": int(row[s]), "n": int(cnt[i]), "lo": int(lo[i]), "hi": int(hi[i]), "d": int(dist[i]), "open": not whole[i], "first": tuple(c[s].as_py() for c in dc), "last": tuple(c[e].as_py() for c in dc), "pid": int(pid[e]), "idx": int(idx[e])}
+
+            m, skip, done = len(starts), 0, []
+            if pending is not None:
+                follows = pending["pid"] == pid[0] and pending["idx"] + 1 == idx[0]
+                same = _same(pending["key"], tuple(c[0].as_py() for c in kc))
+                if follows and same and row[0] % chunk_rows:
+                    h = state(0)
+                    again = _same(pending["last"], h["first"]) and any(x is not None for x in h["first"])
+                    merged = h | {"row": pending["row"], "n": pending["n"] + h["n"], "lo": min(pending["lo"], h["lo"]), "hi": max(pending["hi"], h["hi"]), "d": pending["d"] + h["d"] - again, "first": pending["first"]}
+                    merged["open"] = not (m > 1 and merged["row"] == 0 and new_key[starts[1]] and not piece[starts[1]])
+                    skip = 1
+                    if m > 1:
+                        done.append(merged)
+                    pending = merged
+                else:
+                    done.append(pending | {"open": not (pending["row"] == 0 and follows and not same)})
+            if m > skip:
+                inner = np.arange(skip, m - 1)
+                done += [state(i) for i in inner[~whole[inner]]]
+                w = inner[whole[inner]]
+                if len(w):
+                    at_ = pa.array(starts[w])
+                    void = lo[w] == big
+                    cols = [c.take(at_) for c in kc] + [pa.array(np.zeros(len(w), np.int64)), pa.array(cnt[w].astype(np.int64)), pa.array(lo[w], mask=void), pa.array(hi[w], mask=void), pa.array(dist[w]), pa.array(np.zeros(len(w), bool))]
+                    cols += [pa.nulls(len(w), f.type) for f in list(target)[-2 * len(df_) :]]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target)], schema=target)
+                pending = state(m - 1)
             if done:
                 yield emit(done)
         if pending is not None:
-            yield emit([row(pending, 1 if seen else 0)])
+            yield emit([pending | {"open": True}])
 
-    table = ws.table(sorted_runs(slim, by).mapInArrow(states, schema), "states")
-    inner = table.where("_ch_edge IS NULL").select(*keys, "n", "lo", "hi", "d", F.lit(1).alias("chunks"))
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(*keys).orderBy("_ch_pid", "_ch_edge")
-    first = F.struct(*[F.col(f"_ch_f_{i}").alias(f"c{i}") for i in range(len(ds))])
-    last = F.struct(*[F.col(f"_ch_l_{i}").alias(f"c{i}") for i in range(len(ds))])
-    some = F.coalesce(*[F.col(f"_ch_f_{i}").cast("string") for i in range(len(ds))]).isNotNull()
-    edges = (
-        table.where("_ch_edge IS NOT NULL")
-        .withColumn("_ch_dup", (F.lag(last).over(w).eqNullSafe(first) & some).cast("long"))
-        .groupBy(*keys)
-        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("d") - F.sum("_ch_dup")).alias("d"), F.count(F.lit(1)).cast("int").alias("chunks"))
+    table = ws.table(numbered.mapInArrow(states, schema), "states")
+    final = table.where("NOT open").select(*kn, "n", "lo", "hi", "d", F.lit(1).alias("chunks"))
+    w = W.partitionBy(*kn).orderBy("first_row")
+    ends = {x: F.struct(*[F.col(f"{x}_{n}").alias(n) for n in dn]) for x in ("f", "l")}
+    some = F.coalesce(*[F.col(f"f_{n}").cast("string") for n in dn]).isNotNull()
+    merged = (
+        table.where("open")
+        .withColumn("twice", (F.lag(ends["l"]).over(w).eqNullSafe(ends["f"]) & some).cast("long"))
+        .groupBy(*kn)
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("d") - F.sum("twice")).alias("d"), F.count(F.lit(1)).cast("int").alias("chunks"))
     )
     back = (lambda c: F.timestamp_micros(c).cast("timestamp_ntz")) if lh == "timestamp_ntz" else (lambda c: F.timestamp_micros(c)) if lh == "timestamp" else (lambda c: F.col(c).cast(lh))
-    return inner.unionByName(edges).select(*keys, F.col("n").alias("n_rows"), back("lo").alias("lowest"), back("hi").alias("highest"), F.col("d").alias("n_distinct"), F.col("chunks").alias("n_chunks"))
+    return final.unionByName(merged).select(*[F.col(n).alias(k) for n, k in zip(kn, keys)], F.col("n").alias("n_rows"), back("lo").alias("lowest"), back("hi").alias("highest"), F.col("d").alias("n_distinct"), F.col("chunks").alias("n_chunks"))

@@ -39,13 +39,13 @@ def test_global_numbers_ties_and_clash(spark, ws):
     assert C.number_rows(df.limit(0), ["x"], ["x"], ws).count() == 0
 
 
-@pytest.mark.parametrize("batch", [7, 10_000])
-def test_key_states(spark, ws, batch):
+@pytest.mark.parametrize("batch, chunk", [(7, 100_000), (10_000, 100_000), (10_000, 10), (7, 9), (50, 1)])
+def test_key_states(spark, ws, batch, chunk):
     data = rows() + [(10**6 + i, "hot", "x", None, None, None) for i in range(500)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         df = spark.createDataFrame([(*r, "extra") for r in data], SCHEMA + ", n string").repartition(5)
-        got = {r.key: tuple(r)[1:5] for r in C.key_states(df, ["key"], ["a", "b"], "at", "id", ws).collect()}
+        got = {r.key: tuple(r)[1:5] for r in C.key_states(df, ["key"], ["a", "b"], "at", "id", ws, chunk).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {}
