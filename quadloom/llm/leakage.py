@@ -31,8 +31,9 @@ BLOCK = 1 << 16
 #: Characters of items that one pass holds on every executor; more items are searched in further passes.
 PASS_CHARS = 4_000_000
 
-_ESC = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|([nrtbf])|([\"/]))")
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
+_ESC = re.compile(r"(?<!\\)\\+(?:u([0-9a-fA-F]{4})|([nrtbf])|([\"/]))")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_HUGE_REFERENCE = re.compile(r"&#[0-9]{8,};?")  # no character has it, and it may be too long for a number
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 
@@ -43,6 +44,14 @@ def _resolve(m: re.Match) -> str:
     return " " if m[2] else m[3]
 
 
+def _without_comments(text: str) -> str:
+    out, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out.append(text[at:start])
+        at = end + 3
+    return " ".join([*out, text[at:]])
+
+
 def resolved(text: str) -> str:
     """The text with escape sequences resolved, however nested, and HTML tags replaced by spaces."""
     for _ in range(8):
@@ -52,10 +61,10 @@ def resolved(text: str) -> str:
             if re.search("[\ud800-\udfff]", text):
                 text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
         if "&" in text:
-            text = html.unescape(text)
+            text = html.unescape(_HUGE_REFERENCE.sub(" ", text))
         if text == before:
             break
-    return _TAG.sub(" ", text) if "<" in text else text
+    return _TAG.sub(" ", _without_comments(text)) if "<" in text else text
 
 
 def words(text: str | None) -> list[str]:

@@ -45,15 +45,15 @@ _MARKS = "()[]{}=_;\\%&+<>$^"
 _LEADING = frozenset(" \t\v\f>*•|#-0123456789")
 _SEPARATORS = ",;|/#:•·~"
 
-_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
+_STRING = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"(\s*:)?', re.S)
 _MARKUP_KEYS = frozenset("cell_type output_type name id execution_count kernelspec display_name language language_info version file_extension mimetype codemirror_mode pygments_lexer nbconvert_exporter nbformat nbformat_minor collapsed".split())
 _PERCENT = re.compile(r"^# %%.*$", re.M)
-_PROMPT = re.compile(r"^\s*(?:In|Out) ?\[[ \d*]*\]:", re.M)
+_PROMPT = re.compile(r"^[ \t]*(?:In|Out) ?\[[ \d*]*\]:", re.M)
 _LEAD = re.compile(r"^(?:[\s>*•|]+|#+(?=\s|$)|\d+[.)](?=\s)|-+(?=\s))+")
-_HOST = r"(?:[a-z0-9-]+\.)+[a-z]{2,}/[^\s\"'<>)\]]*"
+_HOST = r"(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}/[^\s\"'<>)\]]*"
 _DATA = re.compile(r"!?\[[^\]\[]*\]\(data:[^)\s]*\)?|data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]*")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-_LINK = re.compile(rf"!?\[([^\]\[]*)\]\(\s*\S*?\)|<a\s[^>]*>(.*?)</a>|(?:https?://|ftp://|www\.)[^\s\"'<>)\]]+|\b{_HOST}", re.I)
+_LINK = re.compile(rf"!?\[([^\]\[]*)\]\(\s*\S*?\)|<a\s[^<>]{{0,2000}}>(.{{0,500}}?)</a>|(?:https?://|ftp://|www\.)[^\s\"'<>)\]]+|(?<![\w.\-]){_HOST}", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _DOTTED = re.compile(r"\b(?:\w[.\-_*]){2,}\w\b")
 _CODE = re.compile(r"\w\(|\w\.\w+|^\s*(?:import|from|def|return|for|while|if|elif|else|with|assert|print|class|library|using|end|try|except)\b|^\s*[%!]\w|[\w\])]\s*(?:=|<-|\+=|==)\s*[\w\[({'\"]|^\s+File \"|Traceback|\w(?:Error|Warning|Interrupt)\b:?|[A-Za-z]:\\\w|/\w+/\w+/")

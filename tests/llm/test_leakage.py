@@ -68,6 +68,16 @@ def test_planted_disguises_are_found():
     assert L.words("\\ud83d\\ude00 a\\u00e9b") == ["aeb"] and L.words(None) == []
 
 
+def test_hostile_texts_take_linear_time():
+    import time
+
+    for text in ("\\" * 200_000 + "q", "<!--" * 100_000, "<a " * 100_000, "&#" + "9" * 100_000 + ";", "&amp;" * 100_000, "a\u0301" * 100_000, "\\u005c" * 50_000):
+        t = time.process_time()
+        L.words(text)
+        assert time.process_time() - t < 5, text[:10]
+    assert L.words("a<!-- b -->c<!-- d") == ["a", "c", "d"]
+
+
 def test_long_documents_are_searched_in_blocks(monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 20)
     item = [f"k{i}" for i in range(14)]

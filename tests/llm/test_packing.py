@@ -101,4 +101,9 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r.n_tokens for r in P.token_counts(df).collect()}
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    rnd = random.Random(1)
+    for _ in range(30):  # cut at long runs of white space as without a cut
+        t = "".join(rnd.choice([" " * 4096, "\n" * 5000, " \t" * 3000, "\u3000" * 4100, "word", " word", "\n", "-- ", " ", "1"]) for _ in range(rnd.randrange(1, 8)))
+        assert P.count_tokens(enc, t) == len(enc.encode_ordinary(t))
+    assert P.count_tokens(enc, "a" + " " * 2_000_000 + "b") > 2 and P.count_tokens(enc, "-" * 2_000_000) > 0
     assert P.token_counts(df.limit(0)).count() == 0

@@ -102,6 +102,17 @@ def test_outputs_are_not_spam():
     assert f["link_chars"] == 0 and f["code_chars"] >= 0.95 * f["chars"]
 
 
+def test_hostile_texts_take_linear_time():
+    import time
+
+    n = 30_000
+    for piece in ("a-", "a.", "\\", "\\n", "<!--", "<a ", "<a >", "[", "[a](", '"', "'", " ", "\n", "&amp;", "#A", "a =", "http://", "_", "a.b-c_", "/a", "1.", "# %%\n", "In [1]:\n", "* "):
+        t = time.process_time()
+        for text in (piece * n, '{"cells": ["' + piece * n):
+            S.features(text)
+        assert time.process_time() - t < 5, piece
+
+
 def test_markup_is_left_out():
     cells = S.contents(notebook([("markdown", "one\ntwo"), ("code", 'print("x")')], "ipynb"))
     assert "one" in cells[0] and "two" in cells[0] and 'print("x")' in cells[1] and not any("markdown" in c for c in cells)
