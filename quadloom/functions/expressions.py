@@ -447,7 +447,7 @@ def _call(name: str, args: list[Value]) -> Value:
         return Value(fn(text(a), text(b)), BOOL)
     if name in ("STRBEFORE", "STRAFTER"):
         s, t = text(a), text(b)
-        at = F.locate_col(s, t) if hasattr(F, "locate_col") else F.call_function("locate", t, s)
+        at = F.call_function("locate", t, s)
         hit = F.substr(s, F.lit(1), at - 1) if name == "STRBEFORE" else F.substr(s, at + F.length(t), F.length(s))
         got = _like(a, F.when(at > 0, hit))
         if a.form.kind == "lit":

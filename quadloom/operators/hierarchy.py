@@ -87,10 +87,6 @@ class Hierarchy:
         return named.join(depth, "did").select("node", "descendant", (F.col("ddepth") - F.col("depth")).cast("long").alias("distance"))
 
 
-def _step(open_rows: DataFrame, ptr: str) -> DataFrame:
-    return open_rows.withColumnRenamed(ptr, "_at")
-
-
 def build(links: DataFrame, ws: Workspace) -> Hierarchy:
     """Hierarchies of a table of (child, parent) names; further columns are ignored.
 

@@ -23,13 +23,19 @@ CELL = "struct<ver:struct<at:timestamp_ntz,row_id:bigint>,val:string,n_rows:bigi
 def declared(predicates: DataFrame) -> list[tuple[str, str, str]]:
     """(predicate, value type, column name) of the declaration table, whose rows are the columns of the wide table: a schema, read by the driver.
 
-    Rows with a null are left out; of repeated predicates or column names the first in order is kept.
+    Rows with a null are left out; of repeated predicates the first in order is kept; a column name that is taken
+    (without case) gets a number.
     """
     rows = sorted({(r.p, r.value_type, r.col_name) for r in predicates.select("p", "value_type", "col_name").where("p IS NOT NULL AND value_type IS NOT NULL AND col_name IS NOT NULL").collect()})
     out: list[tuple[str, str, str]] = []
     for p, t, c in rows:
-        if p not in {x[0] for x in out} and c.lower() not in {x[2].lower() for x in out}:
-            out.append((p, t, c))
+        if p in {x[0] for x in out}:
+            continue
+        taken, name, i = {x[2].lower() for x in out}, c, 1
+        while name.lower() in taken:
+            i += 1
+            name = f"{c}_{i}"
+        out.append((p, t, name))
     return out
 
 

@@ -38,6 +38,13 @@ def test_latest_fitting_value_and_faults(spark, ws):
     assert W.wide(empty, cols).count() == 0 and W.cell_faults(empty, cols).count() == 0
 
 
+def test_declarations(spark):
+    rows = [("p:b", "xsd:string", "X"), ("p:a", "xsd:string", "x"), ("p:a", "xsd:integer", "y"), (None, "xsd:string", "z"), ("p:c", None, "z")]
+    assert W.declared(spark.createDataFrame(rows, "p string, value_type string, col_name string")) == [("p:a", "xsd:integer", "y"), ("p:b", "xsd:string", "X")]
+    rows = [("p:b", "xsd:string", "X"), ("p:a", "xsd:string", "x")]
+    assert [c for _, _, c in W.declared(spark.createDataFrame(rows, "p string, value_type string, col_name string"))] == ["x", "X_2"]
+
+
 def test_batches_in_any_order_give_the_same_table(spark, ws):
     rnd = random.Random(2)
     t0 = datetime(2025, 1, 1)
