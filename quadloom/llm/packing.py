@@ -28,6 +28,8 @@ from ..workspace import Workspace
 
 BINS = 128
 PATTERN_ITEMS = 3
+#: Beyond so many slots (huge capacities) they are joined by a shuffle.
+BROADCAST_SLOTS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -282,8 +284,9 @@ def pack(counts: DataFrame, capacities: DataFrame, ws: Workspace) -> DataFrame:
     names = [T.StructField(n, T.IntegerType() if n == "slot" else T.LongType()) for n in ("rest", "rank_from", "rank_to", "container", "slot", "pos")]
     table = spark.createDataFrame(rows, T.StructType([T.StructField("capacity_id", caps.schema["capacity_id"].dataType), *names]))
     on = (rests.capacity_id == table.capacity_id) & (rests.rest == table.rest) & (rests["rank"] >= table.rank_from) & (rests["rank"] < table.rank_to)
-    # slots are bounded by the number of lengths and patterns, hence by the capacities
-    placed = rests.join(F.broadcast(table), on).select(
+    # slots are bounded by the number of lengths and patterns, hence by the capacities: some ten thousand at any number of documents
+    table = F.broadcast(table) if len(rows) <= BROADCAST_SLOTS else table
+    placed = rests.join(table, on).select(
         rests.capacity_id, (table.container + rests["rank"] - table.rank_from).alias("container"), table.slot, table.pos, "doc_id", F.col("full").alias("piece"), (F.col("full") * F.col("cap")).alias("token_from"), rests.rest.alias("n_tokens")
     )
     return whole.unionByName(placed)

@@ -42,6 +42,15 @@ def test_little_space_is_unused(capacity, least_fill):
     assert best / used >= least_fill
 
 
+def test_the_plan_does_not_grow_with_the_documents():
+    rng = np.random.default_rng(0)
+    rows = []
+    for n in (10**6, 4 * 10**6):
+        k, c = np.unique(np.minimum(2048, np.maximum(1, rng.lognormal(6, 1, n).astype(int))), return_counts=True)
+        rows.append(len(P.slots(P.plan(dict(zip(k.tolist(), c.tolist())), 2048), 0)))
+    assert rows[1] < 1.1 * rows[0] < 40_000
+
+
 def test_nnls_against_projected_gradient():
     rng = np.random.default_rng(0)
     for _ in range(10):
@@ -61,7 +70,9 @@ def test_bad_lengths():
         P.plan({6: 1}, 5)
 
 
-def test_documents_are_whole_and_split_only_beyond_the_capacity(spark, ws):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_documents_are_whole_and_split_only_beyond_the_capacity(spark, ws, monkeypatch, most):
+    monkeypatch.setattr(P, "BROADCAST_SLOTS", most)
     rnd = random.Random(9)
     docs = [(i if i % 50 else 7, rnd.choice([0, None, 3, 10, 11, 99, 100, 101, 200, 1003, rnd.randrange(1, 400)])) for i in range(600)]
     counts = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, n_tokens int, cap string")
