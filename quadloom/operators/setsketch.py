@@ -321,10 +321,12 @@ def merge(parts: DataFrame, config: Config = Config(), salts: int = 0) -> DataFr
         if done:
             yield _batch(schema, done)
 
+    # a fixed number: merging costs more than reading, so small shuffles must not be coalesced to a few tasks
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if salts > 1:
-        salted = parts.repartition(*keys, (F.rand(seed=7) * salts).cast("int"))
+        salted = parts.repartition(n, *keys, (F.rand(seed=7) * salts).cast("int"))
         parts = salted.sortWithinPartitions(*keys).mapInArrow(run, schema)
-    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return parts.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def roll_up(finest: DataFrame, keys: list[str], config: Config = Config()) -> DataFrame:
