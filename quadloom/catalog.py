@@ -32,6 +32,20 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).descendants()
 
 
+def _circled(spark: SparkSession, d: str) -> hierarchy.Circled:
+    return hierarchy.circled(_tree(spark, d), Workspace(spark, "circled"))
+
+
+def p1_circle_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes for which p1_paths has no path."""
+    return _circled(spark, d).paths()
+
+
+def p1_circle_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that p1_descendants hasn't: of nodes on circles and below them."""
+    return _circled(spark, d).descendants()
+
+
 def _key_stats(spark: SparkSession, d: str) -> DataFrame:
     q = _read(spark, d, "quads")
     obj = [F.col("o.k").alias("ok"), F.col("o.v").alias("ov"), F.col("o.dt").alias("od"), F.col("o.lang").alias("ol"), "stated_at", "row_id"]
@@ -94,7 +108,7 @@ def p5_statements(spark: SparkSession, d: str) -> DataFrame:
     return rejects.load_lines(_read(spark, d, "rdf_lines")).where("status = 'valid'").select("line_id", "path", "s", "p", "o", "g")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_keys, p3_counts, p3_day_overlap, p4_found, p4_wide, p5_found, p5_statements)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circle_paths, p1_circle_descendants, p2_found, p2_keys, p3_counts, p3_day_overlap, p4_found, p4_wide, p5_found, p5_statements)}
 
 _LINKS = """links AS (
   SELECT DISTINCT CASE WHEN p LIKE '%#contains' THEN o.v ELSE s.v END AS child, CASE WHEN p LIKE '%#contains' THEN s.v ELSE o.v END AS parent
@@ -109,6 +123,11 @@ treed AS (SELECT n.node, coalesce(u.anc, n.node) AS root, (SELECT count(*) FROM
   WHERE u.node IS NOT NULL OR n.node IN (SELECT node FROM tops)),
 circled AS (SELECT node, min(anc) AS root, -1 AS depth FROM up WHERE anc IN (SELECT node FROM circle) GROUP BY node)"""
 
+#: Of nodes that lead into a circle: every one above, with the number of links; ends where the way runs into itself.
+_WALK = f"""{_LINKS},
+walk(node, anc, steps, seen) AS (SELECT node, node, 0, [node] FROM circled
+  UNION ALL SELECT w.node, par.parent, w.steps + 1, list_append(w.seen, par.parent) FROM walk w JOIN par ON par.child = w.anc WHERE NOT list_contains(w.seen, par.parent))"""
+
 SQL = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT node, root, depth FROM treed UNION ALL SELECT node, root, depth FROM circled",
     "p1_paths": f"""WITH RECURSIVE {_LINKS},
@@ -118,6 +137,11 @@ FROM treed t LEFT JOIN par ON par.child = t.node JOIN walk w ON w.node = t.node
 UNION ALL SELECT c.node, par.parent, c.root, c.depth, NULL, NULL FROM circled c JOIN par ON par.child = c.node""",
     "p1_descendants": f"""WITH RECURSIVE {_LINKS}
 SELECT u.anc AS node, u.node AS descendant, t.depth - a.depth AS distance FROM up u JOIN treed t ON t.node = u.node JOIN treed a ON a.node = u.anc""",
+    "p1_circle_paths": f"""WITH RECURSIVE {_WALK}
+SELECT c.node, par.parent, c.root, c.node IN (SELECT node FROM circle) AS on_circle, w.steps,
+  (SELECT count(*) FROM walk x WHERE x.anc = c.node AND x.node <> c.node) AS n_descendants, array_to_string(list_reverse(w.seen), ' > ') AS path
+FROM circled c JOIN par ON par.child = c.node JOIN walk w ON w.node = c.node AND w.anc = c.root""",
+    "p1_circle_descendants": f"WITH RECURSIVE {_WALK} SELECT anc AS node, node AS descendant, steps AS distance FROM walk WHERE steps > 0",
     "p2_found": """SELECT 'pred' AS pos, p AS key_iri FROM quads GROUP BY p HAVING count(*) >= 0.02 * (SELECT count(*) FROM quads)
 UNION ALL SELECT 'subj', s.v FROM quads GROUP BY s.v HAVING count(*) >= 0.02 * (SELECT count(*) FROM quads)""",
     "p2_keys": """SELECT 'pred' AS pos, p AS key_iri, count(*) AS n_rows, min(stated_at) AS earliest, max(stated_at) AS latest, count(DISTINCT o) AS n_objects FROM quads WHERE p IS NOT NULL GROUP BY p

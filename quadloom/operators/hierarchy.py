@@ -87,6 +87,45 @@ class Hierarchy:
         return named.join(depth, "did").select("node", "descendant", (F.col("ddepth") - F.col("depth")).cast("long").alias("distance"))
 
 
+@dataclass
+class Circled:
+    """The nodes that lead into a circle. ``rows``: node, parent, root (the circle's smallest name). ``tree``: their
+    links without the one from root up, so that every circle is a tree below its root. ``circles``: root, end (the
+    root's parent), end_lft, length (nodes on the circle), others (nodes that lead into it, without one)."""
+
+    rows: DataFrame
+    tree: Hierarchy
+    circles: DataFrame
+
+    def paths(self, separator: str = " > ") -> DataFrame:
+        """node, parent, root, on_circle, steps (links up to root), n_descendants and the path of names from root; every node of a circle has all other nodes that lead into it below it."""
+        placed = self.tree.paths(separator).select("node", "lft", F.col("depth").alias("steps"), F.col("n_descendants").alias("below"), "path")
+        # a circle of one node without others has no link in the tree
+        all_ = self.rows.join(self.circles, "root").join(placed, "node", "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in ("lft", "steps", "below")})
+        on = F.col("end_lft").between(F.col("lft"), F.col("lft") + F.col("below"))
+        return all_.select("node", "parent", "root", on.alias("on_circle"), "steps", F.when(on, F.col("others")).otherwise(F.col("below")).alias("n_descendants"), F.coalesce("path", "node").alias("path"))
+
+    def descendants(self) -> DataFrame:
+        """(node, descendant, distance): every node with every other node from which following parents reaches it; distance is the number of links."""
+        n = self.tree.nodes
+        end = F.col("lft") + F.col("size")
+        on = n.join(self.circles, "root").where((F.col("lft") <= F.col("end_lft")) & (F.col("end_lft") < end))
+        on = on.select("root", "node", F.col("lft").alias("first"), end.alias("end"), (F.col("length") - F.col("depth")).alias("rest"))
+        # what isn't below a circle's node in the tree reaches it through the root's own link
+        around = n.select("root", F.col("node").alias("descendant"), "lft", "depth").join(on, "root").where("lft < first OR lft >= end")
+        return self.tree.descendants().unionByName(around.select("node", "descendant", (F.col("depth") + F.col("rest")).cast("long").alias("distance")))
+
+
+def circled(h: Hierarchy, ws: Workspace) -> Circled:
+    """The nodes of depth -1 of a hierarchy: those on circles and all that hang below one. An empty table if there is none."""
+    rows = h.nodes.where("depth < 0").select("node", "parent", "root")
+    tree = build(rows.where("node <> root").select(F.col("node").alias("child"), "parent"), ws)
+    end = tree.nodes.select(F.col("node").alias("end"), F.col("lft").alias("end_lft"), (F.col("depth") + 1).alias("length"))
+    others = tree.nodes.where("node = root").select("root", (F.col("size") - 1).alias("others"))
+    circles = rows.where("node = root").select("root", F.col("parent").alias("end")).join(end, "end", "left").join(others, "root", "left")
+    return Circled(rows, tree, ws.table(circles.select("root", "end", F.coalesce("end_lft", F.lit(0)).alias("end_lft"), F.coalesce("length", F.lit(1)).alias("length"), F.coalesce("others", F.lit(0)).alias("others")), "circles"))
+
+
 def build(links: DataFrame, ws: Workspace) -> Hierarchy:
     """Hierarchies of a table of (child, parent) names; further columns are ignored.
 

@@ -84,3 +84,31 @@ def test_links_of_statements(spark):
 def test_any_small_graph(spark, ws, links):
     h = H.build(spark.createDataFrame(links, LINKS), ws)
     assert {r.node: (r.root, r.depth) for r in h.found().collect()} == brute(links)[0]
+
+
+def check_circled(spark, ws, links):
+    want, par = brute(links)
+    c = H.circled(H.build(spark.createDataFrame(links, LINKS), ws), ws)
+    pairs, on, ways = {}, set(), {}
+    for n, (root, d) in want.items():
+        if d < 0:
+            way = [n]
+            while par[way[-1]] not in way:
+                way.append(par[way[-1]])
+            on |= {n} if par[way[-1]] == n else set()
+            pairs |= {(a, n): i for i, a in enumerate(way) if i}
+            ways[n] = " > ".join(reversed(way[: way.index(root) + 1]))
+    got = [tuple(r) for r in c.descendants().collect()]
+    assert {(a, n): i for a, n, i in got} == pairs and len(got) == len(pairs)
+    rows = c.paths().collect()
+    assert len(rows) == len(ways) and {r.node: r.path for r in rows} == ways
+    for r in rows:
+        assert (r.parent, r.root, r.on_circle) == (par[r.node], want[r.node][0], r.node in on)
+        assert r.steps == ways[r.node].count(" > ") and r.n_descendants == sum(a == r.node for a, _ in pairs)
+
+
+def test_below_and_on_circles(spark, ws):
+    links = [(f"m{i}", f"m{(i + 1) % 7}") for i in range(7)] + [("t1", "m3"), ("t2", "t1"), ("t3", "t1"), ("v", "m0"), ("self", "self"), ("u", "self"), ("lone", "lone"), ("b", "a")]
+    links += [(f"x{i}", f"x{i - 1}" if i else "t2") for i in range(20)]
+    check_circled(spark, ws, links)
+    check_circled(spark, ws, [("b", "a")])
