@@ -27,6 +27,8 @@ from .chunks import number_rows
 NS = "https://voc.kelmar.example/ns#"
 UP = (NS + "within", NS + "partOf")
 DOWN = (NS + "contains",)
+#: Numbers of a descendant interval that are turned into rows at once.
+PIECE = 1 << 14
 
 
 def links_of(quads: DataFrame, up: tuple[str, ...] = UP, down: tuple[str, ...] = DOWN) -> DataFrame:
@@ -50,12 +52,13 @@ class Hierarchy:
     chains: DataFrame
 
     def found(self) -> DataFrame:
-        return self.nodes.select("node", "root", F.col("depth").cast("long").alias("depth"))
-
-    def _segments(self) -> DataFrame:
-        tree = self.nodes.where("depth >= 0")
-        own = F.array(F.struct(F.col("chain"), F.col("pos").alias("upto")))
-        return tree.join(self.chains, "chain").select("id", "node", "root", F.concat("segs", own).alias("segs"))
+        """node, root, depth: in a tree the root is the head of the first chain above, depth the links of all segments above and on the node's own chain."""
+        above = F.aggregate("segs", F.lit(0).cast("long"), lambda n, x: n + x["upto"] + 1)
+        chains = self.chains.select("chain", above.alias("above"), F.coalesce(F.get("segs", F.lit(0))["chain"], "chain").alias("id"))
+        heads = chains.join(self.nodes.select("id", F.col("node").alias("root")), "id").select("chain", "above", "root")
+        tree = self.nodes.where("depth >= 0").select("node", "chain", "pos").join(heads, "chain")
+        circles = self.nodes.where("depth < 0").select("node", "root", F.col("depth").cast("long").alias("depth"))
+        return tree.select("node", "root", (F.col("above") + F.col("pos")).cast("long").alias("depth")).unionByName(circles)
 
     def paths(self, separator: str = " > ") -> DataFrame:
         """node, parent, root, depth, n_descendants, lft and the full path of names from the root; for nodes that lead into a circle path, n_descendants and lft are null."""
@@ -78,13 +81,13 @@ class Hierarchy:
         return with_path.unionByName(circles)
 
     def descendants(self) -> DataFrame:
-        """(node, descendant, distance): every node of a tree with every node below it, from the exploded chain segments."""
-        segs = self._segments().select(F.col("node").alias("descendant"), F.col("id").alias("did"), F.explode("segs").alias("seg"))
-        tree = self.nodes.where("depth >= 0")
-        depth = tree.select(F.col("id").alias("did"), F.col("depth").alias("ddepth"))
-        flat = segs.select("descendant", "did", F.col("seg.chain").alias("chain"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seg.upto"))).alias("pos"))
-        named = flat.join(tree.select("chain", "pos", "node", "depth", "id"), ["chain", "pos"]).where("id <> did")
-        return named.join(depth, "did").select("node", "descendant", (F.col("ddepth") - F.col("depth")).cast("long").alias("distance"))
+        """(node, descendant, distance): every node of a tree with every node below it, which are those numbered from lft + 1 to lft + size - 1."""
+        tree = self.nodes.where("depth >= 0").select("node", "root", "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("last"))
+        # a long interval becomes rows in pieces: no array has more than PIECE numbers of it
+        pieces = tree.where("last > lft").select("node", "root", "depth", "last", F.explode(F.expr(f"sequence(lft + 1, last, {PIECE}L)")).alias("first"))
+        each = pieces.select("node", "root", "depth", F.explode(F.expr(f"sequence(first, least(first + {PIECE - 1}, last))")).alias("lft"))
+        below = tree.select("root", "lft", F.col("node").alias("descendant"), F.col("depth").alias("ddepth"))
+        return each.join(below, ["root", "lft"]).select("node", "descendant", (F.col("ddepth") - F.col("depth")).cast("long").alias("distance"))
 
 
 @dataclass

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quadloom.operators import hierarchy as H
 
@@ -112,3 +113,16 @@ def test_below_and_on_circles(spark, ws):
     links += [(f"x{i}", f"x{i - 1}" if i else "t2") for i in range(20)]
     check_circled(spark, ws, links)
     check_circled(spark, ws, [("b", "a")])
+
+
+def test_results_come_from_chains_and_intervals(spark, ws, monkeypatch):
+    links = [("b", "a"), ("c", "b"), ("d", "b"), ("e", "d"), ("f", "a"), ("y", "x"), ("o", "o")] + [(f"k{i}", f"k{i - 1}" if i else "c") for i in range(9)]
+    monkeypatch.setattr(H, "PIECE", 4, raising=False)
+    h = H.build(spark.createDataFrame(links, LINKS), ws)
+    check(h, links)
+    want = brute(links)[0]
+    doubled = H.Hierarchy(h.nodes.selectExpr("* EXCEPT (root, depth)", "if(depth < 0, root, NULL) AS root", "least(depth, 0) AS depth"), h.chains)
+    assert {r.node: (r.root, r.depth) for r in doubled.found().collect()} == want
+    unchained = H.Hierarchy(h.nodes.withColumns({"chain": F.lit(None).cast("long"), "pos": F.lit(None).cast("long")}), h.chains.limit(0))
+    assert sorted(map(tuple, unchained.descendants().collect())) == sorted(map(tuple, h.descendants().collect()))
+    assert h.descendants().count() > 0
