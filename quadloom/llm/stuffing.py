@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from ..workspace import Workspace
 
 SHARE = 2 / 3
-#: Words of a text block: it is closed at the first line end beyond BLOCK; blocks below LEAST are too short to judge.
+#: Words of a text block: it is closed at the first line end beyond BLOCK; blocks below LEAST are too short to judge
+#: alone: those with few function words are pooled over the whole document.
 BLOCK, LEAST = 48, 8
 #: Documents with fewer words in stuffed blocks and link lines aren't judged spam.
 LEAST_WORDS = 20
@@ -211,13 +212,27 @@ def features(text: str | None) -> dict:
     lang = list(_FW)[votes.index(max(votes))] if any(votes) else None
     out["lang_by_words"] = lang
     kw: Counter = Counter()
-    block = _Block()
+    block, pool = _Block(), _Block()
 
-    def close() -> None:
-        nonlocal block
-        got = _finish(block, kw)
+    def add(b: _Block) -> None:
+        got = _finish(b, kw)
         if got:
             out["blocks"].append(got)
+
+    def close() -> None:
+        nonlocal block, pool
+        n = len(block.words)
+        if 0 < n < LEAST and max(_by_language(block.bits)) <= 0.1 * n:
+            pool.lines += block.lines
+            pool.chars += block.chars
+            pool.words += block.words
+            pool.bits += block.bits
+            pool.seps += block.seps
+            if len(pool.words) >= BLOCK:
+                add(pool)
+                pool = _Block()
+        else:
+            add(block)
         block = _Block()
 
     for at in pending:
@@ -237,6 +252,7 @@ def features(text: str | None) -> dict:
         if len(block.words) >= BLOCK:
             close()
     close()
+    add(pool)
     n = sum(kw.values())
     out["kw_words"] += n
     out["kw_distinct"] = len(kw)

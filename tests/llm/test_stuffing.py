@@ -116,3 +116,15 @@ def test_hostile_texts_take_linear_time():
 def test_markup_is_left_out():
     cells = S.contents(notebook([("markdown", "one\ntwo"), ("code", 'print("x")')], "ipynb"))
     assert "one" in cells[0] and "two" in cells[0] and 'print("x")' in cells[1] and not any("markdown" in c for c in cells)
+
+
+def test_short_blocks_of_keywords_are_judged_together(spark, ws):
+    keys = [" ".join(rnd.choice(KEYS["en"]) for _ in range(6)) for _ in range(40)]
+    titles = ["Load data", "Results", "Fit model", "Plot residuals"]
+    docs = [
+        notebook([("markdown", k) for k in keys], "ipynb"),
+        notebook([("markdown", "\n".join(f"{k}\n{i},99" for i, k in enumerate(keys)))], "percent"),
+        notebook([x for i in range(40) for x in (("markdown", titles[i % 4]), ("markdown", prose("en", 2)), ("code", CODE[i % 5]))], "ipynb"),
+    ]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(docs)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in S.find_stuffed(df, ws).orderBy("doc_id").collect()] == [0, 1]
