@@ -61,6 +61,14 @@ _CODE = re.compile(r"\w\(|\w\.\w+|^\s*(?:import|from|def|return|for|while|if|eli
 _QUOTED = re.compile(r"\"\"\"|'''")
 _LONG_STRING = re.compile(r"\"([^\"]{60,})\"|'([^']{60,})'")
 _TAG = re.compile(r"<[^<>]{1,200}>")
+_BETWEEN = re.compile(r"[,;|/\t]+")
+_PLAIN = re.compile(r"[^\W\d_]{1,30}(?:[-'][^\W\d_]{1,30})*")
+
+
+def _is_list(line: str) -> bool:
+    """Whether separators split a line without blanks into ordinary words."""
+    parts = [x for x in _BETWEEN.split(line) if x]
+    return len(parts) >= LEAST and sum(len(x) for x in parts if _PLAIN.fullmatch(x)) >= 0.8 * sum(map(len, parts))
 
 
 def contents(text: str) -> list[str]:
@@ -164,7 +172,9 @@ def features(text: str | None) -> dict:
                         pending.append(cut)
                     continue
                 if len(line) > 200 and " " not in line:
-                    if not line.startswith("#") and line.count("http") < 3 and line.count(",") * 40 < len(line):
+                    if _is_list(line):
+                        line = _BETWEEN.sub(" , ", line)
+                    elif not line.startswith("#") and line.count("http") < 3 and line.count(",") * 40 < len(line):
                         out["code_chars"] += chars
                         continue
                 s = _LEAD.sub("", line) if line[0] in _LEADING else line

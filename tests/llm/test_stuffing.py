@@ -128,3 +128,11 @@ def test_short_blocks_of_keywords_are_judged_together(spark, ws):
     ]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(docs)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in S.find_stuffed(df, ws).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_lists_without_blanks_are_judged(spark, ws):
+    keys = [rnd.choice(KEYS["en"]) for _ in range(120)]
+    texts = [x.join(keys[:n]) for x in (";", "|", "/", "\t", ",") for n in (35, 120)]
+    other = ["<table><tr><td>" + "</td><td>".join(keys) + "</td></tr></table>", "Ab3/x+Q9" * 60, "|".join(f"{i}.5" for i in range(90))]
+    df = spark.createDataFrame([(i, notebook([("markdown", t)], "ipynb"), "en") for i, t in enumerate(texts + other)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in S.find_stuffed(df, ws).orderBy("doc_id").collect()] == list(range(len(texts)))
