@@ -33,6 +33,11 @@ PASS_CHARS = 4_000_000
 
 _ESC = re.compile(r"(?<!\\)\\+(?:u([0-9a-fA-F]{4})|([nrtbf])|([\"/]))")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: A name and attributes: name=value, or a name alone that HTML knows as a switch or that has a hyphen.
+_REAL_TAG = re.compile(
+    r"""</?[A-Za-z][^\s<>"'=]*+(?:\s++(?:[^\s"'=/<>]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++)|(?:allowfullscreen|async|autofocus|autoplay|border|checked|compact|controls|default|defer|disabled|download|hidden|inert|ismap|itemscope|loop|multiple|muted|nomodule|noresize|noshade|novalidate|nowrap|open|playsinline|readonly|required|reversed|scoped|selected|[a-z]++-[\w-]++)(?![^\s/>])))*+\s*+/?>""",
+    re.I,
+)
 _HUGE_REFERENCE = re.compile(r"&#[0-9]{8,};?")  # no character has it, and it may be too long for a number
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
@@ -64,7 +69,8 @@ def resolved(text: str) -> str:
             text = html.unescape(_HUGE_REFERENCE.sub(" ", text))
         if text == before:
             break
-    return _TAG.sub(" ", _without_comments(text)) if "<" in text else text
+    # what only stands between two signs of code keeps its words
+    return _TAG.sub(lambda m: " " if _REAL_TAG.fullmatch(m[0]) else m[0], _without_comments(text)) if "<" in text else text
 
 
 def words(text: str | None) -> list[str]:

@@ -103,3 +103,12 @@ def test_window_minima_are_equal_for_equal_windows(n):
     a = np.arange(1, n + 1, dtype=np.uint32)
     low = L.window_minima(a)
     assert len(low) == max(n - 11, 0) and all(low[i] == L.window_minima(a[i : i + 12])[0] for i in range(len(low)))
+
+
+def test_words_between_signs_of_code_are_kept():
+    item = "der rote Kahn lag im Hafen bevor die zehn Glocken laut riefen"
+    index = L.Index([(1, L.words(item))])
+    assert index.search(L.words(f"while i<n: # {item}\n  f = x -> y")) == {1}
+    assert index.search(L.words(f"if a<b {item} >>> c")) == {1}
+    for tag in ("<br>", "<br/>", "</p>", "<x-y>", "<input checked>", "<hr\nclass=wide id = 'a b'>", '<img src="a.png" alt="two words" />', "<td data-x nowrap>", "<a href=http://a.example/b/>"):
+        assert index.search(L.words(item.replace(" ", f" {tag} "))) == {1}, tag
