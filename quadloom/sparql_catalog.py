@@ -98,6 +98,7 @@ SPECS: dict[str, Spec] = {
     "agg_avg": Spec("SELECT ?b (AVG(?s) AS ?x) {?p ns:p_brand ?b ; ns:p_size ?s} GROUP BY ?b", "SELECT p_brand AS b, round(avg(p_size), 6) AS x FROM part GROUP BY 1", {"x": D}, {"x": 6}),
     "agg_avg_distinct": Spec("SELECT ?b (AVG(DISTINCT ?s) AS ?x) {?p ns:p_brand ?b ; ns:p_size ?s} GROUP BY ?b", "SELECT p_brand AS b, round(avg(DISTINCT p_size), 6) AS x FROM part GROUP BY 1", {"x": D}, {"x": 6}),
     "agg_group_concat": Spec('SELECT ?r (GROUP_CONCAT(?n; separator=";") AS ?x) {?y ns:n_name ?n ; ns:n_regionkey ?r} GROUP BY ?r', "SELECT CAST(n_regionkey AS BIGINT) AS r, string_agg(n_name, ';' ORDER BY n_name) AS x FROM nation GROUP BY 1", {"r": L}),
+    "agg_group_concat_customer": Spec('SELECT ?k (GROUP_CONCAT(?n; separator=";") AS ?x) {?c ns:c_name ?n ; ns:c_nationkey ?k} GROUP BY ?k', "SELECT CAST(c_nationkey AS BIGINT) AS k, string_agg(c_name, ';' ORDER BY c_name) AS x FROM customer GROUP BY 1", {"k": L}),
     "agg_group_concat_distinct": Spec("SELECT ?n (GROUP_CONCAT(DISTINCT ?s) AS ?x) {?c ns:c_nationkey ?n ; ns:c_mktsegment ?s} GROUP BY ?n", "SELECT CAST(c_nationkey AS BIGINT) AS n, string_agg(DISTINCT c_mktsegment, ' ' ORDER BY c_mktsegment) AS x FROM customer GROUP BY 1", {"n": L}),
     "agg_sample": Spec("SELECT ?r (SAMPLE(?n) AS ?x) {?y ns:n_name ?n ; ns:n_regionkey ?r} GROUP BY ?r", None, {"r": L}),
     "agg_multi": Spec("SELECT ?f ?s (SUM(?q) AS ?qty) (SUM(?p) AS ?price) (AVG(?d) AS ?disc) (COUNT(*) AS ?n) (MIN(?q) AS ?lo) (MAX(?q) AS ?hi) {?l ns:l_returnflag ?f ; ns:l_linestatus ?s ; ns:l_quantity ?q ; ns:l_extendedprice ?p ; ns:l_discount ?d} GROUP BY ?f ?s", "SELECT l_returnflag AS f, l_linestatus AS s, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 6) AS disc, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1, 2", {"qty": D, "price": D, "disc": D, "n": L, "lo": D, "hi": D}, {"qty": 2, "price": 2, "disc": 6}),
@@ -108,6 +109,7 @@ SPECS: dict[str, Spec] = {
     "group_by_expr": Spec("SELECT ?y (COUNT(*) AS ?n) {?o ns:o_orderdate ?d} GROUP BY (YEAR(?d) AS ?y)", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1", {"y": L, "n": L}),
     # order and slices
     "order_by": Spec("SELECT ?n {?x ns:n_name ?n} ORDER BY DESC(?n)", "SELECT n_name AS n FROM nation ORDER BY 1 DESC"),
+    "order_by_orders": Spec("SELECT ?id ?p {?o ns:o_orderkey ?id ; ns:o_totalprice ?p} ORDER BY DESC(?p) ?id", "SELECT o_orderkey AS id, o_totalprice AS p FROM orders ORDER BY p DESC, id", {"id": L, "p": D}),
     "order_multi": Spec("SELECT ?r ?n {?x ns:n_regionkey ?r ; ns:n_name ?n} ORDER BY DESC(?r) ?n", "SELECT CAST(n_regionkey AS BIGINT) AS r, n_name AS n FROM nation ORDER BY 1 DESC, 2", {"r": L}),
     "order_limit": Spec("SELECT ?id ?p {?o ns:o_orderkey ?id ; ns:o_totalprice ?p} ORDER BY DESC(?p) ?id LIMIT 10", "SELECT o_orderkey AS id, o_totalprice AS p FROM orders ORDER BY p DESC, id LIMIT 10", {"id": L, "p": D}),
     "order_limit_offset": Spec("SELECT ?id {?o ns:o_orderkey ?id ; ns:o_totalprice ?p} ORDER BY DESC(?p) ?id LIMIT 10 OFFSET 5", "SELECT o_orderkey AS id FROM orders ORDER BY o_totalprice DESC, id LIMIT 10 OFFSET 5", {"id": L}),
@@ -144,6 +146,7 @@ SPECS: dict[str, Spec] = {
     "expr_datetime": Spec("SELECT ?id ?y ?m ?d ?h ?i {?e ns:event_id ?id ; ns:ts ?t BIND(YEAR(?t) AS ?y) BIND(MONTH(?t) AS ?m) BIND(DAY(?t) AS ?d) BIND(HOURS(?t) AS ?h) BIND(MINUTES(?t) AS ?i)}", "SELECT event_id AS id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS i FROM events", {x: L for x in ("id", "y", "m", "d", "h", "i")}),
     "expr_datetime_terms": Spec("SELECT ?h (COUNT(*) AS ?n) {?s k:logged ?t BIND(HOURS(?t) AS ?h)} GROUP BY ?h", r"SELECT CASE WHEN o.dt = 'xsd:dateTime' AND regexp_matches(o.v, '^\s*-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?\s*$') THEN try_cast(regexp_extract(o.v, 'T([0-9]{2}):', 1) AS BIGINT) END AS h, count(*) AS n FROM quads WHERE p = 'https://voc.kelmar.example/ns#logged' GROUP BY 1", {"h": L, "n": L}, table="quads"),
     "expr_hash": Spec("SELECT ?n ?a ?b ?c {?x ns:n_name ?n BIND(MD5(?n) AS ?a) BIND(SHA1(?n) AS ?b) BIND(SHA256(?n) AS ?c)}", "SELECT n_name AS n, md5(n_name) AS a, sha1(n_name) AS b, sha256(n_name) AS c FROM nation"),
+    "expr_hash_customer": Spec("SELECT ?n ?a ?b ?c {?x ns:c_name ?n BIND(MD5(?n) AS ?a) BIND(SHA1(?n) AS ?b) BIND(SHA256(?n) AS ?c)}", "SELECT c_name AS n, md5(c_name) AS a, sha1(c_name) AS b, sha256(c_name) AS c FROM customer"),
     "expr_cast": Spec("SELECT ?id ?a ?b ?c ?d ?e {?s ns:s_suppkey ?id ; ns:s_acctbal ?x ; ns:s_name ?n BIND(xsd:integer(?x) AS ?a) BIND(xsd:string(?id) AS ?b) BIND(xsd:double(?id) AS ?c) BIND(xsd:boolean(?id) AS ?d) BIND(xsd:integer(?n) AS ?e)}", "SELECT s_suppkey AS id, CAST(trunc(s_acctbal) AS BIGINT) AS a, CAST(s_suppkey AS VARCHAR) AS b, CAST(s_suppkey AS DOUBLE) AS c, s_suppkey <> 0 AS d, CAST(NULL AS BIGINT) AS e FROM supplier", {"id": L, "a": L, "c": D, "d": "boolean", "e": L}),
 }
 
@@ -153,6 +156,11 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
     return mapped(spark, d).sparql(PREFIX + "SELECT ?r ?n {?x ns:n_region ?r ; ns:n_name ?n}").json()
 
 
+def result_json_customer(spark: SparkSession, d: str) -> DataFrame:
+    """Solutions as JSON objects, a row a customer."""
+    return mapped(spark, d).sparql(PREFIX + "SELECT ?n {?x ns:c_name ?n}").json()
+
+
 def rdf_read(spark: SparkSession, d: str) -> DataFrame:
     """Statements written as N-Quads files and read again."""
     from .sources.rdf import read_rdf, write_nquads
@@ -164,7 +172,8 @@ def rdf_read(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("s.v").alias("s"), "p", F.when(F.col("o.k") > 0, F.col("o.v")).alias("o"), F.col("o.dt").alias("dt"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**SPECS, "result_json": result_json, "rdf_read": rdf_read}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**SPECS, "result_json": result_json, "rdf_read": rdf_read, "result_json_customer": result_json_customer}
 SQL: dict[str, str] = {k: s.sql for k, s in SPECS.items() if s.sql}
 SQL["rdf_read"] = "SELECT s.v AS s, p, CASE WHEN o.k > 0 THEN o.v END AS o, o.dt AS dt FROM graph_quads"
 SQL["result_json"] = """SELECT '{"r":{"value":"http://data.example/region/' || n_regionkey || '","dataType":"http://www.w3.org/2001/XMLSchema#anyURI","language":null},"n":{"value":"' || n_name || '","dataType":"http://www.w3.org/2001/XMLSchema#string","language":null}}' AS value FROM nation"""
+SQL["result_json_customer"] = """SELECT '{"n":{"value":"' || c_name || '","dataType":"http://www.w3.org/2001/XMLSchema#string","language":null}}' AS value FROM customer"""

@@ -176,3 +176,17 @@ def test_plans(spark, small):
     plan = mapped(spark, small).sparql(q).native()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and "GreaterThan(o_totalprice,1000.0)" in plan and "o_orderdate" not in plan and "concat" not in plan.lower()
     assert parse("SELECT * {?s ?p ?o}").select is None
+
+
+def test_order_concat_hash_and_json_on_growing_tables(spark, small):
+    import hashlib
+
+    from quadloom import sparql_catalog
+
+    run = lambda n: sparql_catalog.QUERIES[n](spark, small).collect()
+    orders = spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    names = [r[0] for r in spark.read.parquet(f"{small}/customer.parquet").select("c_name").collect()]
+    assert [tuple(r) for r in run("order_by_orders")] == sorted(map(tuple, orders), key=lambda r: (-r[1], r[0])) and len(orders) > 1000
+    assert sorted(x for r in run("agg_group_concat_customer") for x in r.x.split(";")) == sorted(names)
+    assert {(r.n, r.a) for r in run("expr_hash_customer")} == {(n, hashlib.md5(n.encode()).hexdigest()) for n in names}
+    assert len(run("result_json_customer")) == len(names)
