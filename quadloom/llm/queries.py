@@ -26,6 +26,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(_read(spark, d, "documents"), _read(spark, d, "heldout"))
 
 
+def p7_containment(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each leaked item a document holds."""
+    return leakage.containments(_read(spark, d, "documents"), _read(spark, d, "heldout"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.find_stuffed(_read(spark, d, "documents"), Workspace(spark, "stuffing"))
 
@@ -37,5 +42,5 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.judge(feats, ws.table(stuffing.calibrate(feats), "thresholds"))
 
 
-QUERIES = {f.__name__: f for f in (p6_packed, p6_summary, p7_found, p8_found, p8_scores)}
+QUERIES = {f.__name__: f for f in (p6_packed, p6_summary, p7_found, p7_containment, p8_found, p8_scores)}
 SQL: dict[str, str] = {}

@@ -96,6 +96,55 @@ def test_passes_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in L.find_leaks(d, it).collect()} == one and len(one) == 30
 
 
+def nested(text, depth, how):
+    for _ in range(depth):
+        text = text.replace("&", "&amp;") if how == "html" else json.dumps(text)[1:-1] if how == "json" else text.replace("&", "\\u0026").replace("\\", "&#92;")
+    return text
+
+
+@pytest.mark.parametrize("how", ["html", "json", "mixed"])
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 12])
+def test_any_nesting_is_resolved(how, depth):
+    text = "der rote Kahn l&auml;g im Hafen bevor die zehn Glocken laut riefen" if how != "json" else 'der rote Kahn l\u00e4g im "Hafen"\nbevor die zehn Glocken laut riefen'
+    want = L.words("der rote Kahn läg im Hafen bevor die zehn Glocken laut riefen")
+    assert L.words(nested(text, depth, how)) == want
+
+
+def test_deep_nesting():
+    item = "der rote Kahn l&eacute;g im Hafen bevor die zehn Glocken laut riefen"
+    for depth in (8, 9, 30, 300):
+        assert L.words(nested(item, depth, "html")) == L.words(item.replace("&eacute;", "é"))
+    assert L.words("a " + "&amp;" * 9 + "\\u005cu005cu0061 &#0000000000000097;b") == ["a", "a", "ab"]
+    assert L.words("x&amp" + ";lt;b>y") == ["x", "y"] and L.unescaped("a &b AT&T & \\q") == "a &b AT&T & \\q"
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    for text in ("&" + "amp;" * 100_000, "\\" + "u005c" * 60_000, "\\u0026" + "#92;u0026" * 30_000, "&amp;" * 100_000 + "u005c" * 50_000):
+        t = time.process_time()
+        L.unescaped(text)
+        assert time.process_time() - t < 20, text[:10]
+
+
+def test_size_partitions_and_containment(spark):
+    item = [f"k{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:12])), (3, "a " * 40), (4, " ".join(item[:11]))], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "x " + " ".join(item[:12]) + " y " + " ".join(item[20:34])), (11, " ".join(item)), (12, "a " * 500), (13, " ".join(item[:11] + item[12:23]))], "doc_id long, text string")
+    bands = {(r.item_id, r.part, r.n_shingles) for r in L.item_bands(items).collect()}
+    assert bands == {(1, 2, 56), (2, 0, 8), (3, 2, 36)}
+    got = {(r.item_id, r.doc_id): (r.n_shared, round(r.containment, 6)) for r in L.containments(docs, items).collect()}
+    assert got == {(1, 10): (18, round(18 / 56, 6)), (2, 10): (8, 1.0), (1, 11): (56, 1.0), (2, 11): (8, 1.0), (3, 12): (36, 1.0)}
+
+
+def test_full_filter_changes_nothing(spark, monkeypatch):
+    d = spark.createDataFrame([(i, x[1]) for i, x in enumerate(ITEMS)], "doc_id long, text string")
+    it = spark.createDataFrame(ITEMS, "item_id long, text string")
+    one = {tuple(r) for r in L.find_leaks(d, it).collect()}
+    monkeypatch.setattr(L, "band_filter", lambda bands: __import__("numpy").full(1 << (L.FILTER - 6), 2**64 - 1, dtype="uint64"))
+    assert {tuple(r) for r in L.find_leaks(d, it).collect()} == one and len(one) == 30
+
+
 @pytest.mark.parametrize("n", [0, 11, 12, 40])
 def test_window_minima_are_equal_for_equal_windows(n):
     import numpy as np
