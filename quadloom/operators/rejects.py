@@ -5,15 +5,19 @@ bytes; the parity of the backslash run before a quote tells whether it is protec
 each mask into "next position at or after i". A vectorised cursor then hops from token to token on all lines of
 the batch at once, one step a token, so delimiters and record ends are located without a scan by character. Counts
 of tokens and type checks of their texts decide between a valid row and a reject with the first reason that applies.
+The checks are vectorised too: prefix sums of masks tell whether a span holds a byte it must not hold, and texts are
+looked at in Python once for each different datatype, tag and typed text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -28,8 +32,18 @@ SCHEMA = T.StructType(OUT)
 #: Bytes of lines that are indexed at once; a longer line is a slice of its own.
 SLICE_BYTES = 4 << 20
 IRI, BNODE, LITERAL, STOP = 1, 2, 3, 4
-MAX_TOKENS = 64
-
+#: Tokens of a line that are told apart: a statement has five at most. A longer line can't be one; the rest of it is only tried for being readable.
+MAX_TOKENS = 6
+#: What a line is: its place in this list.
+KINDS = ("skipped", "valid", "unknown_format", "quoting", "columns", "value")
+SKIPPED, VALID, FORMAT, QUOTING, COLUMNS, VALUE = range(6)
+
+_READABLE = re.compile(rb"""(?:[ \t.]++|<[^>]*+>|_:[A-Za-z0-9]++|"(?:[^"\\]++|\\.)*+"(?:@[^ \t.<"#]*+|\^\^<[^>]*+>)?+)*+(?:#.*)?""", re.S)
+_LINES = re.compile(r"\.(?:nt|nq)(?:\.gz)?\Z")
+_QUADS = re.compile(r"\.nq(?:\.gz)?\Z")
+_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+#: The ``k`` of a term by the kind of its token.
+_TERM_KIND = np.array([0, 1, 0, 2, 0], np.int8)
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
 _BAD_IRI = re.compile("[\x00-\x20\x7f-\x9f<>\"{}|^`\\\\]")
 _TAG = re.compile(r"[A-Za-z]+(?:-[A-Za-z0-9]+)*")
@@ -68,6 +82,16 @@ def _next(mask: np.ndarray) -> np.ndarray:
     return np.append(np.minimum.accumulate(at[::-1])[::-1], np.int32(n))
 
 
+def _protected(buf: np.ndarray) -> np.ndarray:
+    """True where an odd number of backslashes stands before a byte."""
+    n = len(buf)
+    idx = np.arange(n, dtype=np.int32)
+    # distance to the last byte that isn't a backslash
+    last_other = np.maximum.accumulate(np.where(buf == 92, np.int32(-1), idx)) if n else idx
+    before = np.concatenate([[-1], last_other[:-1]]) if n else idx
+    return ((idx - 1 - before) & 1).astype(bool)
+
+
 def tokens(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token kinds and spans of lines, all lines at once.
 
@@ -75,12 +99,7 @@ def tokens(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     the term, c..d that of a literal's tag or datatype; c is -1 without one and d is negated for a tag.
     """
     n = len(buf)
-    idx = np.arange(n, dtype=np.int32)
-    slash = buf == 92
-    # backslash parity: distance to the last byte that isn't a backslash
-    last_other = np.maximum.accumulate(np.where(slash, np.int32(-1), idx)) if n else idx
-    before = np.concatenate([[-1], last_other[:-1]]) if n else idx
-    odd = ((idx - 1 - before) & 1).astype(bool)
+    odd = _protected(buf)
     blank = (buf == 32) | (buf == 9)
     digit_letter = ((buf >= 48) & (buf <= 57)) | ((buf >= 65) & (buf <= 90)) | ((buf >= 97) & (buf <= 122))
     gt, close, solid, word_end = _next(buf == 62), _next((buf == 34) & ~odd), _next(~blank), _next(~digit_letter)
@@ -90,8 +109,7 @@ def tokens(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     bad = np.zeros(lines, bool)
     cursor, active = start.astype(np.int32).copy(), np.arange(lines)
     out: list[tuple[np.ndarray, ...]] = []
-    count = np.zeros(lines, np.int32)
-    for _ in range(n + 1):
+    for _ in range(MAX_TOKENS + 1):
         cur = np.minimum(solid[cursor[active]], end[active])
         ch = byte[cur]
         go = (cur < end[active]) & (ch != 35)
@@ -136,118 +154,200 @@ def tokens(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
         bad[active[fail]] = True
         ok = ~fail
         active = active[ok]
-        if len(out) <= MAX_TOKENS:  # more tokens than any statement has only matter for being read to the end
-            row = [np.zeros(lines, np.int8), *(np.zeros(lines, np.int32) for _ in range(4))]
-            for r, v in zip(row, (kind, a, b, c, d)):
-                r[active] = v[ok]
-            out.append(tuple(row))
-        count[active] += 1
+        row = [np.zeros(lines, np.int8), *(np.zeros(lines, np.int32) for _ in range(4))]
+        for r, v in zip(row, (kind, a, b, c, d)):
+            r[active] = v[ok]
+        out.append(tuple(row))
         cursor[active] = nxt[ok]
+    else:
+        for i in active.tolist():
+            bad[i] |= not _READABLE.fullmatch(buf[cursor[i] : end[i]].tobytes())
     if not out:
         z = np.zeros((lines, 0), np.int32)
         return z.astype(np.int8), z, z, z, z, bad
     return (*(np.stack([o[i] for o in out], axis=1) for i in range(5)), bad)
 
 
-def parse_lines(paths: list[str | None], texts: list[bytes | None]) -> list[tuple[str, str | None, tuple | None]]:
-    """(status, reason, statement) of lines; status is valid, skipped or rejected. A statement is (s, p, o, g)."""
-    out: list[tuple[str, str | None, tuple | None]] = [("skipped", None, None)] * len(texts)
-    todo, size = [], 0
+def _total(mask: np.ndarray) -> np.ndarray:
+    """How many of the mask's first i are True."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:], dtype=np.int32)
+    return out
+
+
+def _gather(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The spans a..b of a buffer as texts."""
+    size = (b - a).astype(np.int64)
+    offsets = np.zeros(len(a) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], size)
+    return pa.Array.from_buffers(pa.large_string(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(buf[at])]).cast(pa.string())
+
+
+def _in(buf: np.ndarray, chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table[buf]
+
+
+@dataclass
+class _Slice:
+    """What the lines of a slice are, and the terms of the valid ones: kind, text, datatype and tag of s, p, o, g."""
+
+    codes: np.ndarray
+    terms: list[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]
+
+
+def _slice(texts: list[bytes], known: np.ndarray, quads: np.ndarray, types_checked: bool) -> _Slice:
+    data = b"\n".join(texts)
+    n_lines = len(texts)
+    lengths = np.fromiter(map(len, texts), np.int64, n_lines)
+    start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    end = start + lengths
+    buf = np.frombuffer(data, np.uint8)
+    byte = np.append(buf, np.zeros(3, np.uint8))
+    code = np.full(n_lines, VALID, np.int8)
+    # blank lines and comments; white space beyond ASCII is looked at in Python
+    first = np.minimum(_next(~_in(buf, b"\t\n\v\f\r\x1c\x1d\x1e\x1f "))[start], end)
+    code[(first >= end) | (byte[np.minimum(first, len(buf))] == 35)] = SKIPPED
+    for i in np.flatnonzero((first < end) & (byte[np.minimum(first, len(buf))] >= 128)).tolist():
+        if texts[i].decode(errors="replace").lstrip()[:1] in ("", "#"):
+            code[i] = SKIPPED
+    code[(code == VALID) & ~known] = FORMAT
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        for i in np.flatnonzero(code == VALID).tolist():
+            try:
+                texts[i].decode()
+            except UnicodeDecodeError:
+                code[i] = QUOTING
+    todo = np.flatnonzero(code == VALID)
+    none = [(pa.array([], pa.int8()), *(pa.array([], pa.string()),) * 3)] * 4
+    if not len(todo):
+        return _Slice(code, none)
+    kind, a, b, c, d, bad = tokens(buf, start[todo], end[todo])
+    n_tokens, stops = (kind > 0).sum(axis=1), (kind == STOP).sum(axis=1)
+    terms = n_tokens - stops
+    last = kind[np.arange(len(todo)), np.maximum(n_tokens - 1, 0)] == STOP if kind.shape[1] else np.zeros(len(todo), bool)
+    shaped = (stops == 1) & last & ((terms == 3) | (quads[todo] & (terms == 4)))
+    code[todo[~shaped]] = COLUMNS
+    code[todo[bad]] = QUOTING
+    good = shaped & ~bad
+    todo, terms = todo[good], terms[good]
+    if not len(todo):
+        return _Slice(code, none)
+    # the stop of a triple stands where a quad has its graph
+    there = np.arange(4) < terms[:, None]
+    kind, a, b, c, d = (np.where(there, x[good][:, :4], 0) for x in (kind, a, b, c, d))
+    wrong_byte = _in(buf, bytes(range(33)) + b'\x7f<>"{}|^`\\')
+    wrong_byte[:-1] |= (buf[:-1] == 0xC2) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9F)
+    wrong, no_scheme, colon = _total(wrong_byte), _total(~_in(buf, _LETTERS + b"0123456789+.-")), _next(buf == 58)
+    letter = _in(byte, _LETTERS)
+
+    def iri_ok(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        e = colon[a]
+        return (e < b) & letter[a] & (no_scheme[e] == no_scheme[a]) & (wrong[b] == wrong[a])
+
+    lit = kind[:, 2] == LITERAL
+    la, lb, lc, ld = (x[:, 2] for x in (a, b, c, d))
+    typed, tagged = lit & (lc >= 0) & (ld >= 0), lit & (lc >= 0) & (ld < 0)
+    ok = (kind[:, 1] == IRI) & (kind[:, 0] != LITERAL) & (kind[:, 3] != LITERAL)
+    for k in range(4):
+        ok &= (kind[:, k] != IRI) | iri_ok(a[:, k], b[:, k])
+    ok[typed] &= iri_ok(lc[typed], ld[typed])
+    opens = (buf == 92) & ~_protected(buf)
+    unknown, escapes = _total(opens & ~_in(byte[1 : len(buf) + 1], b"tbnrf\"'\\uU")), _total(opens)
+    ok &= ~lit | (unknown[lb] == unknown[la])
+    # texts of the objects of what is left
+    value = _gather(buf, np.where(ok, la, 0), np.where(ok, lb, 0))
+    escaped = np.flatnonzero(ok & lit & (escapes[lb] != escapes[la]))
+    if len(escaped):
+        plain = [unescape(x) for x in value.take(pa.array(escaped)).to_pylist()]
+        ok[escaped[[x is None for x in plain]]] = False
+        mask = np.zeros(len(ok), bool)
+        mask[escaped] = True
+        value = pc.replace_with_mask(value, mask, pa.array([x or "" for x in plain], pa.string()))
+    types, tags = ["xsd:string", "rdf:langString"], [""]
+    type_of, tag_of = np.where(tagged, 1, 0), np.zeros(len(ok), np.int64)
+    at = np.flatnonzero(ok & tagged)
+    if len(at):
+        seen = _gather(buf, lc[at], -ld[at] - 1).dictionary_encode()
+        names = seen.dictionary.to_pylist()
+        which = np.asarray(seen.indices)
+        ok[at] &= np.array([bool(_TAG.fullmatch(x)) for x in names])[which]
+        tags, tag_of[at] = [x.lower() for x in names], which
+    at = np.flatnonzero(ok & typed)
+    if len(at):
+        seen = _gather(buf, lc[at], ld[at]).dictionary_encode()
+        which = np.asarray(seen.indices)
+        for j, iri in enumerate(seen.dictionary.to_pylist()):
+            local = iri[4:] if iri.startswith("xsd:") else iri[len(XSD) :] if iri.startswith(XSD) else None
+            mine = at[which == j]
+            type_of[mine] = len(types)
+            types.append("xsd:" + local if local else iri)
+            if local and types_checked:
+                texts_of = value.take(pa.array(mine)).dictionary_encode()
+                ok[mine] &= np.array([valid(local, x) for x in texts_of.dictionary.to_pylist()], bool)[np.asarray(texts_of.indices)]
+    code[todo[~ok]] = VALUE
+    kind, a, b, lit, tagged, type_of, tag_of = (x[ok] for x in (kind, a, b, lit, tagged, type_of, tag_of))
+    out = []
+    for k in range(4):
+        is_literal = lit if k == 2 else np.zeros(len(kind), bool)
+        v = value.filter(pa.array(ok)) if k == 2 else _gather(buf, a[:, k], b[:, k])
+        dt = pa.DictionaryArray.from_arrays(pa.array(type_of, pa.int32(), mask=~is_literal), pa.array(types, pa.string())).dictionary_decode()
+        lang = pa.DictionaryArray.from_arrays(pa.array(tag_of, pa.int32(), mask=~(is_literal & tagged)), pa.array(tags, pa.string())).dictionary_decode()
+        out.append((pa.array(_TERM_KIND[kind[:, k]], mask=kind[:, k] == 0), v, dt, lang))
+    return _Slice(code, out)
+
+
+def parse_columns(paths: list[str | None], texts: list[bytes | None], types_checked: bool = True) -> tuple[np.ndarray, list[pa.Array]]:
+    """What each line is (its place in KINDS) and the columns s, p, o, g, null where it isn't valid. Without
+    ``types_checked`` a literal's text needn't be valid in its datatype."""
+    known = {p: (bool(_LINES.search(p or "")), bool(_QUADS.search(p or ""))) for p in set(paths)}
+    code = np.zeros(len(texts), np.int8)
+    parts: list[_Slice] = []
+    todo: list[int] = []
+    size = 0
+
+    def cut() -> None:
+        kinds = [known[paths[i]] for i in todo]
+        got = _slice([texts[i] for i in todo], np.array([x[0] for x in kinds]), np.array([x[1] for x in kinds]), types_checked)
+        code[todo] = got.codes
+        parts.append(got)
+
     for i, t in enumerate(texts):
         if t is None:
             continue
-        first = t.decode().lstrip()[:1]
-        if first == "" or first == "#":
-            continue
-        if not re.search(r"\.(?:nt|nq)(?:\.gz)?\Z", paths[i] or ""):
-            out[i] = ("rejected", "unknown_format", None)
-            continue
         todo.append(i)
         size += len(t)
         if size > SLICE_BYTES:
-            _parse_slice(paths, texts, todo, out)
+            cut()
             todo, size = [], 0
     if todo:
-        _parse_slice(paths, texts, todo, out)
-    return out
-
-
-def _parse_slice(paths: list, texts: list, todo: list[int], out: list) -> None:
-    data = b"\n".join(texts[i] for i in todo)
-    lengths = np.array([len(texts[i]) for i in todo], np.int64)
-    start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    end = start + lengths
-    kind, a, b, c, d, bad = tokens(np.frombuffer(data, np.uint8), start, end)
-    width = kind.shape[1]
-    n_tokens = (kind > 0).sum(axis=1)
-    stops = (kind == STOP).sum(axis=1)
-    terms = n_tokens - stops
-    last = kind[np.arange(len(todo)), np.maximum(n_tokens - 1, 0)] == STOP if width else np.zeros(len(todo), bool)
-    quads = np.array([bool(re.search(r"\.nq(?:\.gz)?\Z", paths[i])) for i in todo])
-    shaped = (stops == 1) & last & ((terms == 3) | (quads & (terms == 4)))
-    types: dict[bytes, tuple[bool, str, str | None]] = {}
-    iris: dict[bytes, tuple[bool, str]] = {}
-    for j, i in enumerate(todo):
-        if bad[j]:
-            out[i] = ("rejected", "quoting", None)
-        elif not shaped[j]:
-            out[i] = ("rejected", "columns", None)
-        else:
-            st = []
-            for k in range(int(terms[j])):
-                t = _term(data, int(kind[j, k]), int(a[j, k]), int(b[j, k]), int(c[j, k]), int(d[j, k]), k, types, iris)
-                if t is None:
-                    break
-                st.append(t)
-            if len(st) < terms[j]:
-                out[i] = ("rejected", "value", None)
-            else:
-                out[i] = ("valid", None, (st[0], st[1]["v"], st[2], st[3] if len(st) == 4 else None))
-
-
-def _iri(raw: bytes, seen: dict) -> tuple[bool, str]:
-    got = seen.get(raw)
-    if got is None:
-        if len(seen) > 50_000:
-            seen.clear()
-        text = raw.decode()
-        got = seen[raw] = (_iri_ok(text), text)
-    return got
-
-
-def _term(data: bytes, kind: int, a: int, b: int, c: int, d: int, at: int, types: dict, iris: dict) -> dict | None:
-    if kind == IRI:
-        ok, text = _iri(data[a:b], iris)
-        return {"k": 1, "v": text, "dt": None, "lang": None} if ok else None
-    if kind == BNODE:
-        return None if at == 1 else {"k": 0, "v": data[a:b].decode(), "dt": None, "lang": None}
-    if at != 2:
-        return None
-    text = unescape(data[a:b].decode())
-    if text is None:
-        return None
-    if c < 0:
-        return {"k": 2, "v": text, "dt": "xsd:string", "lang": None}
-    if d < 0:
-        tag = data[c : -d - 1].decode()
-        return {"k": 2, "v": text, "dt": "rdf:langString", "lang": tag.lower()} if _TAG.fullmatch(tag) else None
-    raw = data[c:d]
-    known = types.get(raw)
-    if known is None:
-        ok, iri = _iri(raw, iris)
-        local = iri[4:] if iri.startswith("xsd:") else iri[len(XSD) :] if iri.startswith(XSD) else None
-        known = types[raw] = (ok, "xsd:" + local if local else iri, local)
-    ok, name, local = known
-    if not ok or (local and not valid(local, text)):
-        return None
-    return {"k": 2, "v": text, "dt": name, "lang": None}
+        cut()
+    place = np.full(len(texts), -1)
+    place[code == VALID] = np.arange((code == VALID).sum())
+    at = pa.array(place, mask=place < 0)
+    out = []
+    for k in range(4):
+        kinds, v, dt, lang = (pa.concat_arrays([p.terms[k][j] for p in parts] or [t]).take(at) for j, t in enumerate((pa.array([], pa.int8()), *(pa.array([], pa.string()),) * 3)))
+        out.append(v if k == 1 else pa.StructArray.from_arrays([kinds, v, dt, lang], names=["k", "v", "dt", "lang"], mask=kinds.is_null()))
+    return code, out
+
+
+def parse_lines(paths: list[str | None], texts: list[bytes | None], types_checked: bool = True) -> list[tuple[str, str | None, tuple | None]]:
+    """(status, reason, statement) of lines; status is valid, skipped or rejected. A statement is (s, p, o, g)."""
+    code, cols = parse_columns(paths, texts, types_checked)
+    rows = zip(code.tolist(), *(c.to_pylist() for c in cols))
+    return [(KINDS[k], None, st if k == VALID else None) if k <= VALID else ("rejected", KINDS[k], None) for k, *st in ((k, *x) for k, *x in rows)]
 
 
 def load_lines(lines: DataFrame) -> DataFrame:
     """line_id, path, line_no, status (valid, rejected, skipped), reason, and the statement (s, p, o, g) of valid lines.
 
     Null or blank lines and comment lines are skipped, also in files of an unknown format. A null path has an
-    unknown format. Lines of any length are read whole; repeated lines are rows of their own; an empty table gives
+    unknown format. A line that isn't UTF-8 can't be read: 'quoting'. Lines of any length are read whole; repeated lines are rows of their own; an empty table gives
     an empty table; extra columns are dropped. There is no shuffle: a partition's lines are parsed where they are read.
     """
 
@@ -257,10 +357,10 @@ def load_lines(lines: DataFrame) -> DataFrame:
         target = to_arrow_schema(SCHEMA)
         for b in batches:
             get = lambda name: b.column(b.schema.get_field_index(name))
-            paths = get("path").to_pylist()
-            res = parse_lines(paths, get("line").cast(pa.binary()).to_pylist())
-            st = [r[2] or (None, None, None, None) for r in res]
-            cols = [get("line_id"), get("path"), get("line_no"), [r[0] for r in res], [r[1] for r in res], *([x[i] for x in st] for i in range(4))]
-            yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(cols, target)], schema=target)
+            code, terms = parse_columns(get("path").to_pylist(), get("line").cast(pa.binary()).to_pylist())
+            status = pa.DictionaryArray.from_arrays(np.minimum(code, 2), pa.array(["skipped", "valid", "rejected"])).dictionary_decode()
+            reason = pa.DictionaryArray.from_arrays(pa.array(code, mask=code <= VALID), pa.array(KINDS)).dictionary_decode()
+            cols = [get("line_id"), get("path"), get("line_no"), status, reason, *terms]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, target)], schema=target)
 
     return lines.select("line_id", "path", "line_no", "line").mapInArrow(parse, SCHEMA)

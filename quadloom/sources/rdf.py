@@ -1,7 +1,8 @@
 """RDF files: Turtle, TriG, N-Triples, N-Quads and RDF/XML, plain or compressed by gzip or bzip2.
 
 Line formats are read by ``spark.read.text`` (splittable, any file system) and the structural line parser; documents
-of the other formats are parsed whole, one row of ``binaryFile`` each. The data source "rdf" offers the same
+of the other formats are parsed whole, one row of ``binaryFile`` each. A literal whose text isn't valid in its datatype
+is a term all the same. The data source "rdf" offers the same
 parsers, one partition a file. Blank nodes are scoped by file.
 """
 
@@ -14,14 +15,16 @@ import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urljoin
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.terms import RDF, TERM, compact_type
-from ..operators.rejects import parse_lines
+from ..operators.rejects import KINDS, VALID, parse_columns, parse_lines
 from ..plans.parser import unescape_string
 
 QUADS = T.StructType([T.StructField("s", TERM), T.StructField("p", T.StringType()), T.StructField("o", TERM), T.StructField("g", TERM)])
@@ -314,19 +317,19 @@ def _xml(data: bytes, scope: str) -> list[tuple]:
     return out
 
 
-def parse_document(data: bytes, path: str) -> list[tuple]:
-    """(s, p, o, g) statements of a whole file, terms as dicts; raises RdfSyntaxError."""
+def parse_document(data: bytes, path: str, fail: bool = True) -> list[tuple]:
+    """(s, p, o, g) statements of a whole file, terms as dicts; raises RdfSyntaxError, of line formats only if ``fail``."""
     kind, data = format_of(path), unpack(data, path)
     if kind == "turtle":
         return _Turtle(data.decode("utf-8-sig"), path).parse()
     if kind == "xml":
         return _xml(data, path)
     if kind == "lines":
-        lines = data.decode("utf-8-sig").split("\n")
+        lines = data.removeprefix(b"\xef\xbb\xbf").split(b"\n")
         name = re.sub(r"\.bz2$", ".gz", path)
-        got = parse_lines([name] * len(lines), [x.rstrip("\r").encode() for x in lines])
+        got = parse_lines([name] * len(lines), [x.rstrip(b"\r") for x in lines], False)
         bad = next((i for i, r in enumerate(got) if r[0] == "rejected"), None)
-        if bad is not None:
+        if bad is not None and fail:
             raise RdfSyntaxError(f"{path}, line {bad + 1}: {got[bad][1]}")
         return [_scoped(r[2], path) for r in got if r[2]]
     raise RdfSyntaxError(f"{path}: unknown format")
@@ -339,6 +342,16 @@ def _scoped(st: tuple, path: str) -> tuple:
     return fix(st[0]), st[1], fix(st[2]), fix(st[3])
 
 
+def _labels(terms: pa.StructArray, paths: pa.Array) -> pa.StructArray:
+    """Terms whose blank nodes are named by file and label."""
+    kind, v, dt, lang = terms.flatten()
+    blank = pc.fill_null(pc.equal(kind, 0), False)
+    if not pc.any(blank).as_py():
+        return terms
+    new = ["b" + hashlib.md5(f"{p} {x}".encode()).hexdigest()[:20] for p, x in zip(paths.filter(blank).to_pylist(), v.filter(blank).to_pylist())]
+    return pa.StructArray.from_arrays([kind, pc.replace_with_mask(v, blank, pa.array(new, pa.string())), dt, lang], names=["k", "v", "dt", "lang"], mask=terms.is_null())
+
+
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -349,8 +362,8 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
 def read_rdf(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
     """Statements (s, p, o, g) of the files that a path or glob names.
 
-    FAILFAST raises for files of unknown format and for syntax errors; PERMISSIVE leaves out such files and, in line
-    formats, only the lines concerned.
+    FAILFAST raises for files of unknown format and for syntax errors, bytes that aren't UTF-8 among them; PERMISSIVE
+    leaves out such files and, in line formats, only the lines concerned.
     """
     fail = mode.upper() == "FAILFAST"
     files = spark.read.format("binaryFile").load(path)
@@ -374,15 +387,20 @@ def read_rdf(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST")
                     yield _arrow(rows[i : i + 10_000])
 
     def by_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         for b in batches:
             paths = [re.sub(r"(?i)\.bz2$", ".gz", unquote(p)) for p in b.column(1).to_pylist()]
-            texts = [None if x is None else x.encode() for x in b.column(0).to_pylist()]
-            got = parse_lines([p.lower() for p in paths], texts)
-            if fail:
-                bad = next((i for i, r in enumerate(got) if r[0] == "rejected"), None)
-                if bad is not None:
-                    raise RdfSyntaxError(f"{paths[bad]}: {got[bad][1]} in {texts[bad][:80]!r}")
-            yield _arrow([_scoped(r[2], p) for r, p in zip(got, paths) if r[2]])
+            texts = b.column(0).cast(pa.binary()).to_pylist()
+            code, cols = parse_columns([p.lower() for p in paths], texts, False)
+            bad = np.flatnonzero(code > VALID)
+            if fail and len(bad):
+                raise RdfSyntaxError(f"{paths[bad[0]]}: {KINDS[code[bad[0]]]} in {texts[bad[0]][:80]!r}")
+            there = pa.array(code == VALID)
+            names = pa.array(paths).filter(there)
+            s, p, o, g = (c.filter(there) for c in cols)
+            target = to_arrow_schema(QUADS)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip((_labels(s, names), p, _labels(o, names), _labels(g, names)), target)], schema=target)
 
     documents = files.where(known & ~line).select("path", "content").mapInArrow(whole, QUADS)
     names = [r.path for r in files.where(line).select("path").collect()]  # a file listing, as the driver has it anyway
@@ -417,7 +435,7 @@ class _Reader(DataSourceReader):
         with open(partition.path, "rb") as f:
             data = f.read()
         try:
-            rows = parse_document(data, partition.path)
+            rows = parse_document(data, partition.path, self.fail)
         except (RdfSyntaxError, UnicodeDecodeError):
             if self.fail:
                 raise

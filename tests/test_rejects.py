@@ -101,6 +101,26 @@ def test_slices_of_long_lines(monkeypatch):
     assert reasons(["a.nq"] * len(lines), lines) == [scan("a.nq", x) for x in lines]
 
 
+def test_bytes_that_are_no_text(spark):
+    good, bad = b"<a:b> <a:p> <a:c> .", b'<a:b> <a:p> "\xff" .'
+    lines = [good, bad, b"\xc2", b" \xc2\xa0# c", b"\xc2\xa0", good, b"# \xff"]
+    got = [(s, r) for s, r, _ in R.parse_lines(["a.nq"] * 6 + ["a.nt"], lines)]
+    assert got == [("valid", None), ("rejected", "quoting"), ("rejected", "quoting"), ("skipped", None), ("skipped", None), ("valid", None), ("skipped", None)]
+    assert R.parse_lines(["a.csv"], [bad])[0][:2] == ("rejected", "unknown_format")
+    df = spark.createDataFrame([(1, "a.nt", 1, bytearray(bad)), (2, "a.nt", 2, bytearray(good))], "line_id long, path string, line_no int, line binary").selectExpr("line_id", "path", "line_no", "cast(line AS string) AS line")
+    assert sorted((r.line_id, r.reason) for r in R.load_lines(df).select("line_id", "reason").collect()) == [(1, "quoting"), (2, None)]
+
+
+def test_hostile_lines_take_linear_time():
+    import time
+
+    big = [b"." * 4_000_000, b"<a:b> " * 700_000, b'"x" ' * 1_000_000, b"_:a" * 1_000_000, b"\\" * 4_000_000, b'"' + b"\\" * 4_000_000, b". " * 1_000_000 + b'"', b'<a:b> <a:p> "' + b"\\u0041" * 600_000 + b'" .']
+    for line, want in zip(big, ["columns", "columns", "columns", "columns", "quoting", "quoting", "quoting", None]):
+        t = time.process_time()
+        assert R.parse_lines(["a.nt"], [line])[0][1] == want
+        assert time.process_time() - t < 5, line[:10]
+
+
 def test_table(spark):
     rows = [(i, "a.nq", i, x, "extra", 1) for i, x in enumerate(GOOD)] + [(None, None, None, "<a:b> <a:p> <a:c> .", "e", 1), (99, "z.ttl", 1, None, "e", 1)]
     df = spark.createDataFrame(rows, "line_id long, path string, line_no int, line string, status string, s int")

@@ -81,3 +81,15 @@ def test_entry(spark, small):
     for n, cols in {"p1_found": ["node", "root", "depth"], "p2_found": ["pos", "key_iri"], "p4_found": ["subj", "pred", "kind"], "p5_found": ["line_id", "reason"]}.items():
         df = q[n](spark, small)
         assert df.columns == cols and df.count() == df.distinct().count() > 0
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "a.nt").write_bytes(b'<a:b> <a:p> "\xff" .\n<a:b> <a:p> "7x"^^<http://www.w3.org/2001/XMLSchema#integer> .\r\n_:x <a:p> _:x .\n')
+    with pytest.raises(Exception, match="quoting"):
+        read_rdf(spark, str(tmp_path / "a.nt")).collect()
+    rows = read_rdf(spark, str(tmp_path / "a.nt"), mode="PERMISSIVE").collect()
+    assert sorted((r.s.k, r.o.k, r.o.dt) for r in rows) == [(0, 0, None), (1, 2, "xsd:integer")]
+    blank = next(r for r in rows if r.s.k == 0)
+    assert blank.s.v == blank.o.v != "x"
+    spark.dataSource.register(RdfDataSource)
+    assert spark.read.format("rdf").option("mode", "PERMISSIVE").load(str(tmp_path / "a.nt")).count() == 2
