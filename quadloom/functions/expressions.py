@@ -110,14 +110,70 @@ def num(v: Value) -> Num | None:
     return Num(F.when(dbl.isNotNull(), tier), None, dec, dbl)
 
 
+def _digits(x: Column) -> Column:
+    """The digits of a decimal(38,18) without sign and point; the last 18 are its fraction."""
+    return F.replace(F.abs(x).cast("string"), F.lit("."), F.lit(""))
+
+
+def _pointed(digits: Column, fraction: Column | int) -> Column:
+    """The decimal(38,18) of digits of which so many are the fraction; null beyond 20 digits before the point."""
+    whole = F.length(digits) - F.lit(fraction) if isinstance(fraction, int) else F.length(digits) - fraction
+    return F.concat(F.substr(digits, F.lit(1), whole), F.lit("."), F.substr(digits, whole + 1)).try_cast("decimal(38,18)")
+
+
+def _signed(x: Column, y: Column, size: Column) -> Column:
+    return F.when(F.signum(x.cast("double")) * F.signum(y.cast("double")) < 0, -size).otherwise(size).cast("decimal(38,18)")
+
+
+def product(x: Column, y: Column) -> Column:
+    """x * y of decimal(38,18), rounded half up to 18 fraction digits; null where it doesn't fit.
+
+    Spark gives up fraction digits of a product beyond 38. Operands of up to nine digits on either side of the point have an exact one; else
+    the 38 digits of each are multiplied in halves.
+    """
+    short = [v.try_cast("decimal(18,9)") for v in (x, y)]
+    exact = F.try_multiply(*short).cast("decimal(38,18)")
+
+    def long(a: Column, b: Column) -> Column:
+        half = lambda v: (F.substr(v, F.lit(1), F.lit(19)).cast("decimal(38,0)"), F.substr(v, F.lit(20)).cast("decimal(38,0)"))
+        (a1, a0), (b1, b0) = half(a), half(b)
+        ten = lambda n: F.lit("1" + "0" * n).cast("decimal(38,0)")
+        low = F.lpad(F.try_multiply(a0, b0).cast("string"), 38, "0")
+        up = F.when(F.substring(low, 21, 1) >= "5", 1).otherwise(0).cast("decimal(38,0)")
+        cross = F.try_multiply(F.try_add(F.try_multiply(a1, b0), F.try_multiply(a0, b1)), ten(1))
+        total = F.try_add(F.try_add(F.try_multiply(F.try_multiply(a1, b1), ten(20)), cross), F.try_add(F.substring(low, 1, 20).cast("decimal(38,0)"), up))
+        return _pointed(F.lpad(total.cast("string"), 38, "0"), 18)
+
+    size = let([F.lpad(_digits(v), 38, "0") for v in (x, y)], long)
+    return F.when((short[0] == x) & (short[1] == y), exact).otherwise(_signed(x, y, size))
+
+
+def quotient(x: Column, y: Column) -> Column:
+    """x / y of decimal(38,18), rounded half up to 18 fraction digits; null for a zero divisor and where it doesn't fit.
+
+    Both are multiplied by the power of ten that makes the divisor an integer, whose quotient Spark gives with 18 fraction
+    digits. Where the dividend then has more than 20 digits before the point the result has six.
+    """
+    short = [v.try_cast("decimal(20,6)") for v in (x, y)]
+    exact = F.try_divide(*short).try_cast("decimal(38,18)")
+
+    def long(a: Column, b: Column) -> Column:
+        kept = F.length(F.regexp_replace(F.substr(b, F.length(b) - 17), "0+$", ""))  # fraction digits of the divisor
+        divisor = F.substr(b, F.lit(1), F.length(b) - 18 + kept).cast("decimal(38,0)")
+        dividend = _pointed(a, F.lit(18) - kept)
+        large = F.substr(a, F.lit(1), F.length(a) - 18 + kept).try_cast("decimal(38,0)")
+        return F.coalesce(F.try_divide(dividend, divisor).try_cast("decimal(38,18)"), F.when(dividend.isNull(), F.try_divide(large, divisor).try_cast("decimal(38,18)")))
+
+    size = let([F.lpad(_digits(v), 38, "0") for v in (x, y)], long)
+    return F.when(y == 0, F.lit(None).cast("decimal(38,18)")).when((short[0] == x) & (short[1] == y), exact).otherwise(_signed(x, y, size))
+
+
 def arithmetic(op: str, a: Num, b: Num) -> Num:
     fn = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}.get(op)
 
     def decimals(x: Column, y: Column) -> Column:
-        if op == "/":  # precision 20 keeps 18 fraction digits
-            return F.try_divide(x.try_cast("decimal(28,8)").try_cast("decimal(20,6)"), y.try_cast("decimal(20,6)")).try_cast("decimal(38,18)")
-        if op == "*":
-            return F.try_multiply(x.try_cast("decimal(28,9)"), y.try_cast("decimal(28,9)")).try_cast("decimal(38,18)")
+        if op in "*/":
+            return let([x, y], product if op == "*" else quotient)
         return fn(x, y).try_cast("decimal(38,18)")
 
     def doubles(x: Column, y: Column) -> Column:

@@ -30,7 +30,7 @@ OUT = [
 ]
 SCHEMA = T.StructType(OUT)
 #: Bytes of lines that are indexed at once; a longer line is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 IRI, BNODE, LITERAL, STOP = 1, 2, 3, 4
 #: Tokens of a line that are told apart: a statement has five at most. A longer line can't be one; the rest of it is only tried for being readable.
 MAX_TOKENS = 6

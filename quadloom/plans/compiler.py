@@ -60,6 +60,11 @@ def _group_vars(g: Any) -> set[str]:
     return out
 
 
+def _settled(inner: Solutions, outer: Solutions) -> set[str]:
+    """The variables of a group whose values no outer solution can add to."""
+    return {n for n, slot in inner.vars.items() if not slot.nullable or n not in outer.vars}
+
+
 def _has_exists(e: Any) -> bool:
     return isinstance(e, P.Exists) or (isinstance(e, P.Call) and any(map(_has_exists, e.args)))
 
@@ -184,7 +189,7 @@ class Compiler:
             if isinstance(p, P.Optional):
                 inner, conds = self.group(p.group, graph, keep_filters=True)
                 plain = [c for c in conds if not _has_exists(c)]
-                outer = [c for c in plain if not _vars_of(c) <= set(inner.vars)]
+                outer = [c for c in plain if not _vars_of(c) <= _settled(inner, base)]
                 for c in conds:
                     if c not in outer:
                         inner = self.filter(inner, c, graph)
@@ -422,7 +427,7 @@ class Compiler:
         inner, conds = self.group(e.group, graph, keep_filters=True)
         lifted = []
         for c in conds:
-            if _vars_of(c) <= set(inner.vars) or not (_vars_of(c) - set(inner.vars)) & set(s.vars):
+            if _vars_of(c) <= _settled(inner, s) or not (_vars_of(c) - _settled(inner, s)) & set(s.vars):
                 inner = self.filter(inner, c, graph)
             elif _has_exists(c):
                 raise UnsupportedSparql("EXISTS inside EXISTS over outer variables")
@@ -541,26 +546,26 @@ class Compiler:
                     continue
                 bad = F.count_if(m.tier_col.isNull() if isinstance(m.tier, Column) else v2.col.isNull())
                 if isinstance(m.tier, Column):
-                    parts = [F.sum(m.dec).alias("dec"), F.sum(m.dbl).alias("dbl"), F.max(m.tier).alias("tier"), F.count(F.lit(1)).alias("n"), bad.alias("bad")]
+                    parts = [F.try_sum(m.dec).alias("dec"), F.sum(m.dbl).alias("dbl"), F.max(m.tier).alias("tier"), F.count(F.lit(1)).alias("n"), bad.alias("bad")]
                     if a.distinct:
                         once = df.select(*key_cols, v2.col.alias("x")).distinct()
                         m2 = X.num(Value(F.col("x"), TERMS))
-                        parts = [F.sum(m2.dec).alias("dec"), F.sum(m2.dbl).alias("dbl"), F.max(m2.tier).alias("tier"), F.count(F.lit(1)).alias("n"), F.count_if(m2.tier.isNull()).alias("bad")]
+                        parts = [F.try_sum(m2.dec).alias("dec"), F.sum(m2.dbl).alias("dbl"), F.max(m2.tier).alias("tier"), F.count(F.lit(1)).alias("n"), F.count_if(m2.tier.isNull()).alias("bad")]
                         apart.append((c, once.groupBy(*key_cols).agg(F.struct(*parts).alias(c))))
                     else:
                         outs.append(F.struct(*parts).alias(c))
                     after[n] = ("dynamic", a.name)
                 else:
-                    x = m.native if m.tier != 2 else m.dec
-                    total = F.sum_distinct(x) if a.distinct else F.sum(x)
-                    count = F.count_distinct(x) if a.distinct else F.count(x)
+                    # sums that grow out of their type are unbound
+                    kind = {1: "decimal(28,0)", 2: "decimal(38,18)", 3: "float", 4: "double"}[m.tier]
+                    total = F.expr(f"try_sum({'DISTINCT ' if a.distinct else ''}try_cast(`__{c}` AS {kind}))")
+                    count = F.count_distinct(m.native) if a.distinct else F.count(m.native)
+                    fits = {1: "bigint", 2: "decimal(38,18)", 3: "float", 4: "double"}[m.tier]
                     if a.name == "SUM":
-                        zero = F.lit(0).cast({1: "bigint", 2: "decimal(38,18)", 3: "float", 4: "double"}[m.tier])
-                        total = total.try_cast("decimal(38,18)") if m.tier == 2 else total.cast("float") if m.tier == 3 else total
-                        outs.append(F.when(bad == 0, F.coalesce(total, zero)).alias(c))
+                        outs.append(F.when(bad == 0, F.when(count == 0, F.lit(0).cast(fits)).otherwise(total.try_cast(fits))).alias(c))
                         after[n] = ("as", X.lit_form(X.TIER_TYPE[m.tier]))
                     elif m.tier <= 2:
-                        outs.append(F.when(bad == 0, F.coalesce(F.try_divide(total.try_cast("decimal(28,8)" if m.tier == 2 else "decimal(20,0)"), count.cast("decimal(20,0)")).try_cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))).alias(c))
+                        outs.append(F.when(bad == 0, F.when(count == 0, F.lit(0).cast("decimal(38,18)")).otherwise(F.try_divide(total.try_cast("decimal(38,18)"), count.cast("decimal(20,0)")).try_cast("decimal(38,18)"))).alias(c))
                         after[n] = ("as", DEC)
                     else:
                         outs.append(F.when(bad == 0, F.coalesce(total / F.when(count != 0, count), F.lit(0.0))).alias(c))

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.expressions import Value
 from ..functions.terms import TERMS, Form
 
-#: A side with variables that may be unbound is split into so many bound and unbound parts at most before a join falls back to a condition that can't be hashed.
-SPLITS = 2
-
 
 @dataclass(frozen=True)
 class Slot:
@@ -75,38 +72,38 @@ def _renamed(right: Solutions, shared: list[str]) -> DataFrame:
     return right.df.select(*[F.col(column(n)).alias(column(n) + ("__r" if n in shared else "")) for n in right.vars])
 
 
-def _match(left: Solutions, right: Solutions, shared: list[str]) -> Column | None:
-    conds = []
-    for n in shared:
-        a, b = F.col(column(n)), F.col(column(n) + "__r")
-        eq = a == b
-        if left.vars[n].nullable:
-            eq = a.isNull() | eq
-        if right.vars[n].nullable:
-            eq = b.isNull() | eq
-        conds.append(eq)
+def _match(shared: list[str]) -> Column | None:
+    conds = [F.col(column(n)) == F.col(column(n) + "__r") for n in shared]
     return reduce(lambda x, y: x & y, conds) if conds else None
 
 
+def _loose(s: Solutions, shared: list[str]) -> str | None:
+    return next((n for n in shared if s.vars[n].nullable), None)
+
+
 def _split(s: Solutions, name: str) -> tuple[Solutions, Solutions]:
+    """The solutions that bind a variable and, without it, those that don't."""
     c = F.col(column(name))
     rest = Solutions(s.df.where(c.isNull()).drop(column(name)), {k: v for k, v in s.vars.items() if k != name})
     return s.where(c.isNotNull()).bound({name}), rest
 
 
-def join(left: Solutions, right: Solutions, depth: int = 0) -> Solutions:
+def _with_unbound(s: Solutions, name: str, like: Solutions) -> Solutions:
+    kind = like.df.schema[column(name)].dataType
+    return Solutions(s.df.withColumn(column(name), F.lit(None).cast(kind)), {**s.vars, name: Slot(like.vars[name].form, True)})
+
+
+def join(left: Solutions, right: Solutions) -> Solutions:
     """Compatible mappings joined. Shared variables that are always bound are hash keys; a side where one may be
     unbound is split in two, so that its bound part joins by hash as well."""
     left, right, shared = aligned(left, right)
-    loose = [n for n in shared if left.vars[n].nullable or right.vars[n].nullable]
-    if loose and depth < SPLITS:
-        n = loose[0]
-        if left.vars[n].nullable:
-            a, b = _split(left, n)
-            return union(join(a, right, depth + 1), join(b, right, depth + 1))
+    if n := _loose(left, shared):
+        a, b = _split(left, n)
+        return union(join(a, right), join(b, right))
+    if n := _loose(right, shared):
         a, b = _split(right, n)
-        return union(join(left, a, depth + 1), join(left, b, depth + 1))
-    cond = _match(left, right, shared)
+        return union(join(left, a), join(left, b))
+    cond = _match(shared)
     r = _renamed(right, shared)
     df = left.df.crossJoin(r) if cond is None else left.df.join(r, cond, "inner")
     return _output(df, left, right, shared, False)
@@ -131,13 +128,21 @@ def _output(df: DataFrame, left: Solutions, right: Solutions, shared: list[str],
 
 
 def left_join(left: Solutions, right: Solutions, condition=None) -> Solutions:
-    """OPTIONAL. condition(Solutions) -> Column sees the variables of both sides; the joined row's values decide."""
+    """OPTIONAL. condition(Solutions) -> Column sees the variables of both sides; the joined row's values decide.
+
+    Where the right side may leave a shared variable unbound, what joins its bound and its unbound part and what
+    joins neither are three joins by hash.
+    """
     left, right, shared = aligned(left, right)
-    loose = [n for n in shared if left.vars[n].nullable]
-    if loose:
-        a, b = _split(left, loose[0])
+    if n := _loose(left, shared):
+        a, b = _split(left, n)
         return union(left_join(a, right, condition), left_join(b, right, condition))
-    cond = _match(left, right, shared)
+    if n := _loose(right, shared):
+        found = [join(left, part) for part in _split(right, n)]
+        if condition is not None:
+            found = [f.where(F.coalesce(condition(f), F.lit(False))) for f in found]
+        return union(union(*found), semi_join(left, right, True, condition))
+    cond = _match(shared)
     r = _renamed(right, shared)
     if condition is not None:
         both = Solutions(left.df, {**right.vars, **left.vars})
@@ -148,30 +153,49 @@ def left_join(left: Solutions, right: Solutions, condition=None) -> Solutions:
 
 
 def semi_join(left: Solutions, right: Solutions, negated: bool, condition=None) -> Solutions:
-    """EXISTS and NOT EXISTS: left rows with (without) a compatible right row."""
+    """EXISTS and NOT EXISTS: left rows with (without) a compatible right row. Maybe-unbound shared variables split the sides as in ``join``."""
     keep = left
     left, right, shared = aligned(left, right)
-    cond = _match(left, right, shared)
+    if n := _loose(left, shared):
+        a, b = _split(left, n)
+        rest = _with_unbound(semi_join(b, right, negated, condition), n, left)
+        return _ordered(union(semi_join(a, right, negated, condition), rest), keep, left)
+    if n := _loose(right, shared):
+        a, b = _split(right, n)
+        without = semi_join(left, a, True, condition)
+        if negated:
+            return _ordered(semi_join(without, b, True, condition), keep, left)
+        return _ordered(union(semi_join(left, a, False, condition), semi_join(without, b, False, condition)), keep, left)
+    cond = _match(shared)
+    if condition is None and cond is None:
+        some = F.coalesce(right.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("some")).scalar(), F.lit(False))
+        return _ordered(left.where(~some if negated else some), keep, left)
     r = _renamed(right, shared)
     if condition is not None:
         extra = F.coalesce(condition(Solutions(left.df, {**right.vars, **left.vars})), F.lit(False))
         cond = extra if cond is None else cond & extra
-    elif cond is None:
-        r = r.limit(1)
-    df = left.df.join(r, cond if cond is not None else F.lit(True), "left_anti" if negated else "left_semi")
-    return Solutions(df, {n: left.vars[n] for n in keep.vars})
+    return _ordered(Solutions(left.df.join(r, cond, "left_anti" if negated else "left_semi"), dict(left.vars)), keep, left)
+
+
+def _ordered(s: Solutions, keep: Solutions, left: Solutions) -> Solutions:
+    """The columns of a side in its own order, with its own knowledge of what is bound."""
+    return Solutions(s.df.select(*[F.col(column(n)) for n in keep.vars]), {n: Slot(s.vars[n].form, left.vars[n].nullable) for n in keep.vars})
 
 
 def minus(left: Solutions, right: Solutions) -> Solutions:
+    """Left rows without a compatible right row that binds one of the same variables."""
+    keep = left
     left, right, shared = aligned(left, right)
     if not shared:
         return left
-    cond = _match(left, right, shared)
-    if not any(not left.vars[n].nullable and not right.vars[n].nullable for n in shared):
-        some = [F.col(column(n)).isNotNull() & F.col(column(n) + "__r").isNotNull() for n in shared]
-        cond = cond & reduce(lambda x, y: x | y, some)
+    if n := _loose(left, shared):
+        a, b = _split(left, n)
+        return _ordered(union(minus(a, right), _with_unbound(minus(b, right), n, left)), keep, left)
     right = right.select(shared)
-    return Solutions(left.df.join(_renamed(right, shared), cond, "left_anti"), dict(left.vars))
+    if n := _loose(right, shared):
+        a, b = _split(right, n)
+        return minus(minus(left, a), b)
+    return Solutions(left.df.join(_renamed(right, shared), _match(shared), "left_anti"), dict(left.vars))
 
 
 def union(a: Solutions, b: Solutions) -> Solutions:
