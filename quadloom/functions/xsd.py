@@ -77,7 +77,7 @@ def valid(datatype: str, text: str) -> bool:
 
 
 def trimmed(v: Column) -> Column:
-    return F.regexp_replace(v, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return F.btrim(v, F.lit(_WHITE))
 
 
 def _full(s: Column, pattern: str) -> Column:
@@ -105,7 +105,11 @@ def canonical(v: Column, value_type: str) -> Column:
     kind = value_type.rpartition(":")[2].rpartition("#")[2]
     if kind in ("string", "anyURI"):
         return v
-    s = trimmed(v)
+    one = F.transform(F.array(trimmed(v)), lambda s: _canonical(s, kind))  # s is used often and trimmed once
+    return F.get(one, F.lit(0))
+
+
+def _canonical(s: Column, kind: str) -> Column:
     if kind == "integer":
         ok = _full(s, _PATTERNS["integer"])
         return F.when(ok, _digits(F.regexp_replace(s, r"^[+-]", ""), None, s.startswith("-")))
@@ -127,7 +131,7 @@ def canonical(v: Column, value_type: str) -> Column:
         off = F.coalesce((F.substring(zone, 2, 2).try_cast("long") * 60 + F.substring(zone, 5, 2).try_cast("long")) * F.when(zone.startswith("-"), -1).otherwise(1), F.lit(0))
         sec = day * 86400 + F.substring(clock, 1, 2).try_cast("long") * 3600 + F.substring(clock, 4, 2).try_cast("long") * 60 + F.substring(clock, 7, 2).try_cast("long") - off * 60
         return F.when(_full(s, _PATTERNS["dateTime"]), F.concat(sec.cast("string"), F.lit("."), F.regexp_extract(clock, r"\.([0-9]*[1-9])0*([Z+-].*)?$", 1)))
-    raise ValueError(f"no canonical form for {value_type}")
+    raise ValueError(f"no canonical form for {kind}")
 
 
 def typed(canon: Column, value_type: str) -> Column:
