@@ -3,8 +3,9 @@
 A text is cut into lines without the notebook's own markup. Lines are link lines (links and their texts make up most
 of them), code or program output (by syntax and digits), or text; neighbouring text lines of one kind form blocks of
 some dozen words. Each text block has its top-word share, repeated-bigram share, duplicate-line share, separator
-density and share of function words. What is ordinary differs by language: the thresholds of a language are
-quantiles of these features over the ordinary blocks of all documents in it. A document is spam if stuffed blocks
+density and share of function words, each link line the share of its links. What is ordinary differs by language: the
+thresholds of a language are quantiles of these features over the ordinary blocks of all documents in it. The language
+is that of the column ``lang``, else the one whose function words the text has. A document is spam if stuffed blocks
 and link lines hold at least ``SHARE`` of its characters.
 
 One pass over the texts writes the block features; calibration and decision read only these.
@@ -18,7 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,8 @@ SHARE = 2 / 3
 BLOCK, LEAST = 48, 8
 #: Documents with fewer words in stuffed blocks and link lines aren't judged spam.
 LEAST_WORDS = 20
+#: The share of its characters from which links may make a line one of links, and the words of a line for which one sign of code does.
+LEAST_LINK, _CODE_EVERY = 0.3, 30
 
 # fixed values: frequent function words of the four languages
 FUNCTION_WORDS = {
@@ -42,7 +45,7 @@ _FW = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _LISTS = tuple(_FW.values())
 #: word -> bits of the languages that have it as a function word
 _BITS = {w: sum(1 << i for i, ws in enumerate(_LISTS) if w in ws) for w in frozenset().union(*_LISTS)}
-_MARKS = "()[]{}=_;\\%&+<>$^"
+_MARKS = "()[]{}=_\\%&+<>$^"
 _LEADING = frozenset(" \t\v\f>*•|#-0123456789")
 _SEPARATORS = ",;|/#:•·~"
 
@@ -54,21 +57,31 @@ _LEAD = re.compile(r"^(?:[\s>*•|]+|#+(?=\s|$)|\d+[.)](?=\s)|-+(?=\s))+")
 _HOST = r"(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}/[^\s\"'<>)\]]*"
 _DATA = re.compile(r"!?\[[^\]\[]*\]\(data:[^)\s]*\)?|data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]*")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-_LINK = re.compile(rf"!?\[([^\]\[]*)\]\(\s*\S*?\)|<a\s[^<>]{{0,2000}}>(.{{0,500}}?)</a>|(?:https?://|ftp://|www\.)[^\s\"'<>)\]]+|(?<![\w.\-]){_HOST}", re.I)
+_LINK = re.compile(rf"!?\[([^\]\[]*)\]\(\s*+[^\s)\[]*+\)|<a\s[^<>]*+>((?:(?!<a\s|</a>).)*+)</a>|(?:https?://|ftp://|www\.)[^\s\"'<>)\]]+|(?<![\w.\-]){_HOST}", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _DOTTED = re.compile(r"\b(?:\w[.\-_*]){2,}\w\b")
 _CODE = re.compile(r"\w\(|\w\.\w+|^\s*(?:import|from|def|return|for|while|if|elif|else|with|assert|print|class|library|using|end|try|except)\b|^\s*[%!]\w|[\w\])]\s*(?:=|<-|\+=|==)\s*[\w\[({'\"]|^\s+File \"|Traceback|\w(?:Error|Warning|Interrupt)\b:?|[A-Za-z]:\\\w|/\w+/\w+/")
 _QUOTED = re.compile(r"\"\"\"|'''")
 _LONG_STRING = re.compile(r"\"([^\"]{60,})\"|'([^']{60,})'")
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _BETWEEN = re.compile(r"[,;|/\t]+")
+_ADDRESS = re.compile(r"https?:|ftp:|www\.|\]\(|<a\s", re.I)
 _PLAIN = re.compile(r"[^\W\d_]{1,30}(?:[-'][^\W\d_]{1,30})*")
 
 
-def _is_list(line: str) -> bool:
-    """Whether separators split a line without blanks into ordinary words."""
-    parts = [x for x in _BETWEEN.split(line) if x]
-    return len(parts) >= LEAST and sum(len(x) for x in parts if _PLAIN.fullmatch(x)) >= 0.8 * sum(map(len, parts))
+def _without_blanks(line: str) -> str:
+    """What a line without blanks is: a list of words that separators split, code, or text like any other."""
+    if "." in line or "*" in line or "-" in line:
+        line = _DOTTED.sub(_undotted, line)
+    parts = [x for x in _BETWEEN.split(line.replace("#", ",")) if x]
+    size, plain = sum(map(len, parts)), sum(len(x) for x in parts if _PLAIN.fullmatch(x))
+    if len(parts) >= LEAST and plain >= 0.8 * size:
+        return "list"
+    return "code" if plain < 0.5 * size and not _ADDRESS.search(line) else "text"
+
+
+def _undotted(m: re.Match) -> str:
+    return re.sub(r"[.\-_*]", "", m[0])
 
 
 def contents(text: str) -> list[str]:
@@ -144,10 +157,11 @@ def _finish(b: _Block, kw: Counter) -> dict | None:
 
 def features(text: str | None) -> dict:
     """Character counts by kind of line and the text blocks of one document. A null text is an empty one."""
-    out = {"chars": 0, "links": 0, "link_chars": 0, "code_chars": 0, "lang_by_words": None, "kw_words": 0, "kw_distinct": 0, "kw_top": 0.0, "blocks": []}
+    out = {"chars": 0, "links": 0, "link_chars": 0, "link_lines": [], "code_chars": 0, "lang_by_words": None, "kw_words": 0, "kw_distinct": 0, "kw_top": 0.0, "blocks": []}
     if not text:
         return out
-    votes = [0] * len(_LISTS)
+    votes, n_words = [0] * len(_LISTS), 0
+    link_lines: dict[tuple[bool, int], list[int]] = {}
     cut = ("cut", 0, "", [], [])
     pending: list[tuple[str, int, str, list[str], list[int]]] = []
     for cell in contents(text):
@@ -171,10 +185,11 @@ def features(text: str | None) -> dict:
                     if _WORD.search(line):
                         pending.append(cut)
                     continue
-                if len(line) > 200 and " " not in line:
-                    if _is_list(line):
+                if " " not in line and not line.isalpha():
+                    what = _without_blanks(line)
+                    if what == "list":
                         line = _BETWEEN.sub(" , ", line)
-                    elif not line.startswith("#") and line.count("http") < 3 and line.count(",") * 40 < len(line):
+                    elif what == "code":
                         out["code_chars"] += chars
                         continue
                 s = _LEAD.sub("", line) if line[0] in _LEADING else line
@@ -197,30 +212,39 @@ def features(text: str | None) -> dict:
                 if "<" in s:
                     s = _TAG.sub(" ", s)
                 if "." in s or "*" in s or "-" in s:
-                    s = _DOTTED.sub(lambda m: re.sub(r"[.\-_*]", "", m[0]), s)
+                    s = _DOTTED.sub(_undotted, s)
                 if "#" in s:
                     s = _CAMEL.sub(" ", s)
                 ws = _WORD.findall(s.lower())
-                if links and link_chars >= 0.4 * chars and not re.search(r"\w\(", s) and len(ws) <= 8 * links:
-                    out["links"] += links
-                    out["link_chars"] += chars
-                    out["kw_words"] += len(ws) + links
-                    pending.append(cut)
-                    continue
+                if links and not re.search(r"\w\(", s):
+                    listed = link_chars >= LEAST_LINK * chars and len(ws) <= 8 * links
+                    tenth = link_lines.setdefault((listed, min(int(10 * link_chars / chars), 10)), [0, 0, 0, 0, 0])
+                    ordinary = 6 * max(_by_language(list(filter(None, map(_BITS.get, ws))))) >= len(ws) > 0
+                    for i, x in enumerate((1, chars, links, len(ws), int(ordinary))):
+                        tenth[i] += x
+                    if listed:
+                        out["links"] += links
+                        out["link_chars"] += chars
+                        out["kw_words"] += len(ws) + links
+                        pending.append(cut)
+                        continue
                 if not ws:
                     out["code_chars"] += chars
                     continue
                 marks = sum(map(s.count, _MARKS))
-                if sum(map(str.isdigit, ws)) > 0.5 * len(ws) or marks > 0.6 * len(ws) or (len(ws) < 30 and _CODE.search(s)):
+                if marks:  # semicolons alone separate words
+                    marks += s.count(";")
+                if sum(map(str.isdigit, ws)) > 0.5 * len(ws) or marks > 0.6 * len(ws) or _CODE_EVERY * sum(1 for _ in _CODE.finditer(s)) > len(ws):
                     out["code_chars"] += chars
                     pending.append(cut)
                     continue
                 bits = list(filter(None, map(_BITS.get, ws)))
                 if bits:
                     votes = [x + y for x, y in zip(votes, _by_language(bits))]
+                n_words += len(ws)
                 pending.append((s.strip(), chars, s, ws, bits))
-    lang = list(_FW)[votes.index(max(votes))] if any(votes) else None
-    out["lang_by_words"] = lang
+    out["lang_by_words"] = list(_FW)[votes.index(max(votes))] if max(votes) > 0.05 * n_words else None
+    out["link_lines"] = [{"listed": x, "ratio": k / 10, "lines": n, "chars": c, "links": m, "words": w, "ordinary": f} for (x, k), (n, c, m, w, f) in sorted(link_lines.items())]
     kw: Counter = Counter()
     block, pool = _Block(), _Block()
 
@@ -271,8 +295,10 @@ def features(text: str | None) -> dict:
 
 
 BLOCK_TYPE = T.StructType([T.StructField("chars", T.LongType()), T.StructField("words", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in ("fw", "top", "gram", "dup", "sep"))])
+#: The lines with links of one document by tenths of the share of their characters that are links; listed lines may be lists of links.
+LINK_TYPE = T.StructType([T.StructField("listed", T.BooleanType()), T.StructField("ratio", T.DoubleType()), *(T.StructField(x, T.LongType()) for x in ("lines", "chars", "links", "words", "ordinary"))])
 SCHEMA = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("lang_by_words", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("chars", "links", "link_chars", "code_chars", "kw_words", "kw_distinct")), T.StructField("kw_top", T.DoubleType()), T.StructField("blocks", T.ArrayType(BLOCK_TYPE))]
+    [T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("lang_by_words", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("chars", "links", "link_chars", "code_chars", "kw_words", "kw_distinct")), T.StructField("kw_top", T.DoubleType()), T.StructField("link_lines", T.ArrayType(LINK_TYPE)), T.StructField("blocks", T.ArrayType(BLOCK_TYPE))]
 )
 
 
@@ -291,49 +317,76 @@ def block_features(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def _language(feats: DataFrame) -> Column:
+    """The documents' language as given, in its first part and without case, else as their words show it."""
+    given = F.lower(F.split_part(F.trim(F.regexp_replace("lang", "_", "-")), F.lit("-"), F.lit(1)))
+    return F.coalesce(F.when(given != "", given), feats.lang_by_words, F.lit("none"))
+
+
 def calibrate(feats: DataFrame) -> DataFrame:
-    """Thresholds by language from the text blocks of all documents: (language, fw_low, top_high, gram_high).
+    """Thresholds by language from all documents: (language, fw_low, top_high, gram_high, dup_high, sep_high, link_high).
 
     A block is ordinary if at least a sixth of its words are function words and it is long enough. fw_low is a
-    third of the 1 % quantile of their function words; top_high and gram_high are 99 % quantiles with a margin of a
-    third, in bounds that hold where a language has few blocks.
+    third of the 1 % quantile of their function words. top_high, gram_high, dup_high and sep_high are 90 % quantiles with a
+    margin of a third, link_high is that of the link share of lines that hold links among as many function words; all in
+    bounds that hold where a language has few blocks. A language without ordinary blocks has no row.
     """
-    blocks = feats.select(F.coalesce("lang_by_words", F.lit("none")).alias("language"), F.explode("blocks").alias("b")).select("language", "b.*")
-    q = blocks.where(f"words >= {BLOCK // 2} AND fw >= 1.0 / 6").groupBy("language").agg(F.percentile_approx("fw", 0.01, 1000).alias("fw"), F.percentile_approx("top", 0.90, 1000).alias("top"), F.percentile_approx("gram", 0.90, 1000).alias("gram"))
+    language = _language(feats).alias("language")
+    blocks = feats.select(language, F.explode("blocks").alias("b")).select("language", "b.*")
+    high = lambda x: F.percentile_approx(x, 0.90, 1000).alias(x)
+    q = blocks.where(f"words >= {BLOCK // 2} AND fw >= 1.0 / 6").groupBy("language").agg(F.percentile_approx("fw", 0.01, 1000).alias("fw"), high("top"), high("gram"), high("dup"), high("sep"))
+    lines = feats.select(language, F.explode("link_lines").alias("b")).select("language", "b.*").where("ordinary > 0")
+    q = q.join(lines.groupBy("language").agg(F.percentile("ratio", F.lit(0.90), F.col("ordinary")).alias("ratio")), "language", "left")
+    within = lambda x, low, top: F.least(F.greatest(x, F.lit(low)), F.lit(top))
+    third = lambda x: F.col(x) * 4 / 3
     return q.select(
         "language",
-        F.least(F.greatest(F.col("fw") / 3, F.lit(0.03)), F.lit(0.1)).alias("fw_low"),
-        F.least(F.greatest(F.col("top") * 4 / 3, F.lit(0.2)), F.lit(0.45)).alias("top_high"),
-        F.least(F.greatest(F.col("gram") * 4 / 3, F.lit(0.25)), F.lit(0.6)).alias("gram_high"),
+        within(F.col("fw") / 3, 0.03, 0.1).alias("fw_low"),
+        within(third("top"), 0.2, 0.45).alias("top_high"),
+        within(third("gram"), 0.25, 0.6).alias("gram_high"),
+        within(third("dup"), 0.3, 0.5).alias("dup_high"),
+        within(third("sep"), 0.4, 0.6).alias("sep_high"),
+        within(F.coalesce(third("ratio"), F.lit(1.0)), LEAST_LINK, 0.4).alias("link_high"),
     )
 
 
+#: Thresholds of a language without ordinary blocks.
+DEFAULTS = {"top_high": 0.3, "gram_high": 0.4, "dup_high": 0.5, "sep_high": 0.5, "link_high": 0.4}
+
+
 def judge(feats: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """doc_id, spam_share (of characters) and is_spam for every document."""
+    """doc_id, spam_share (of characters) and is_spam for every document.
+
+    A block is stuffed if it has few function words and the document's words without them repeat, or if separators
+    stand between its words; if some words and pairs of words hold much of it; or if lines, or all words of the document, and pairs of words
+    repeat. In a language that is given, but neither known by its function words nor calibrated, few function words tell nothing.
+    """
     th = F.broadcast(thresholds)  # one row a language
-    j = feats.join(th, F.coalesce(feats.lang_by_words, F.lit("none")) == th.language, "left").withColumns(
-        {"fw_low": F.coalesce("fw_low", F.lit(0.05)), "top_high": F.coalesce("top_high", F.lit(0.3)), "gram_high": F.coalesce("gram_high", F.lit(0.4))}
-    )
+    language = _language(feats)
+    known = language.isin(*_FW, "none")
+    j = feats.join(th, language == th.language, "left").withColumns({"fw_low": F.coalesce("fw_low", F.when(known, 0.05).otherwise(-1.0)), **{k: F.coalesce(k, F.lit(v)) for k, v in DEFAULTS.items()}})
     repeated = (F.col("kw_words") >= LEAST_WORDS) & ((F.col("kw_distinct") <= 0.6 * F.col("kw_words")) | (F.col("kw_top") >= 0.4))
 
     def stuffed(b):
-        listed = (b["fw"] <= F.col("fw_low")) & repeated
+        listed = (b["fw"] <= F.col("fw_low")) & (repeated | (b["sep"] >= F.col("sep_high")))
         driven = (b["top"] >= F.col("top_high")) & (b["gram"] >= F.col("gram_high"))
-        same = (b["dup"] >= 0.5) & (b["gram"] >= F.col("gram_high")) & (b["fw"] <= 0.1)
-        return (b["words"] >= LEAST) & (listed | driven | same)
+        same = (b["dup"] >= F.col("dup_high")) & (b["gram"] >= F.col("gram_high")) & (b["fw"] <= 0.1)
+        again = (F.col("kw_words") >= LEAST_WORDS) & (F.col("kw_distinct") <= 0.1 * F.col("kw_words")) & (b["gram"] >= F.col("gram_high")) & (b["fw"] <= 0.1)
+        return (b["words"] >= LEAST) & (listed | driven | same | again)
 
-    text = F.aggregate(F.filter("blocks", stuffed), F.lit(0).cast("long"), lambda a, b: a + b["chars"])
-    words = F.aggregate(F.filter("blocks", stuffed), F.lit(0).cast("long"), lambda a, b: a + b["words"])
-    links = F.when(F.col("links") >= 3, F.col("link_chars")).otherwise(0)
-    share = (text + links) / F.greatest(F.col("chars"), F.lit(1))
-    return j.select("doc_id", share.alias("spam_share"), ((share >= SHARE) & (words + F.col("links") * 3 >= LEAST_WORDS)).alias("is_spam"))
+    total = lambda items, field: F.aggregate(items, F.lit(0).cast("long"), lambda a, b: a + b[field])
+    text, words = (total(F.filter("blocks", stuffed), x) for x in ("chars", "words"))
+    lines = F.filter("link_lines", lambda b: b["listed"] & (b["ratio"] > F.col("link_high") - 0.05))
+    links = total(lines, "links")
+    share = (text + F.when(links >= 3, total(lines, "chars")).otherwise(0)) / F.greatest(F.col("chars"), F.lit(1))
+    return j.select("doc_id", share.alias("spam_share"), ((share >= SHARE) & (words + links * 3 >= LEAST_WORDS)).alias("is_spam"))
 
 
 def find_stuffed(documents: DataFrame, ws: Workspace) -> DataFrame:
     """Distinct doc_id of spam documents.
 
-    Null and empty texts aren't spam; a null or wrong lang doesn't matter, since the language is that of the
-    function words; repeated rows give one row; extra columns are ignored; an empty table gives an empty table.
+    Null and empty texts aren't spam; without lang the language is that of the function words, a wrong one only means
+    the thresholds of another language; repeated rows give one row; extra columns are ignored; an empty table gives an empty table.
     """
     feats = ws.table(block_features(documents), "features")
     return judge(feats, ws.table(calibrate(feats), "thresholds")).where("is_spam").select("doc_id").distinct()

@@ -136,3 +136,29 @@ def test_lists_without_blanks_are_judged(spark, ws):
     other = ["<table><tr><td>" + "</td><td>".join(keys) + "</td></tr></table>", "Ab3/x+Q9" * 60, "|".join(f"{i}.5" for i in range(90))]
     df = spark.createDataFrame([(i, notebook([("markdown", t)], "ipynb"), "en") for i, t in enumerate(texts + other)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in S.find_stuffed(df, ws).orderBy("doc_id").collect()] == list(range(len(texts)))
+
+
+def test_tags_between_separators_need_not_repeat(spark, ws):
+    tags = [f"{a}{b}" for a in ("rote", "zinn", "kupf", "blau", "tanne", "mohn") for b in ("kanne", "schale", "leine", "boje", "gabel", "lampe", "decke", "kiste", "wanne", "glocke")]
+    texts = [" | ".join(tags), " , ".join(tags[:40]) + "\n" + " ; ".join(tags[20:])]
+    df = spark.createDataFrame([(i, notebook([("markdown", t)], "ipynb"), "de") for i, t in enumerate(texts)] + [(9, notebook([("markdown", prose("de", 40))], "ipynb"), "de")], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in S.find_stuffed(df, ws).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_languages_without_function_words_of_their_own(spark, ws):
+    finnish = "Satama avautui aamulla kun meri oli vielä tyyni. Laivat lähtivät hitaasti kohti avointa merta. Kalastajat korjasivat verkkojaan laiturilla. Lokit kiersivät majakan ympärillä koko iltapäivän. Tuuli kääntyi myöhään pohjoiseen. Illalla laivat palasivat hitaasti satamaan. "
+    words = finnish.split()
+    text = "\n".join(" ".join(rnd.sample(words, 12)) for _ in range(30))
+    assert S.features(notebook([("markdown", text)], "ipynb"))["lang_by_words"] is None
+    df = spark.createDataFrame([(1, notebook([("markdown", text)], "ipynb"), "fi"), (2, notebook([("markdown", " ".join(words[:8] * 60))], "ipynb"), "fi"), (3, notebook([("markdown", stuffed("en", "words", 400))], "ipynb"), "EN_us")], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in S.find_stuffed(df, ws).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_size_does_not_change_the_kind_of_a_line():
+    for n in (100, 600, 5000):
+        assert S._LINK.search(f'<a href="http://a.example/{"x" * n}">{"tin kettle " * (n // 10)}</a>')[1], n
+    for n in (30, 150, 400):
+        assert S.features("Q9+/x" * n)["code_chars"] == 5 * n
+    for n in (1, 4, 20):
+        f = S.features("frame = pd.merge(left, right, on='a'); print(frame.head()); " * n)
+        assert f["code_chars"] == f["chars"] > 0
