@@ -50,10 +50,23 @@ def _arrays(batch: pa.RecordBatch, names: Sequence[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
+#: Bytes of input, as they lie in files, for each sorted run, and the most runs.
+RUN_BYTES, MOST_RUNS = 32 << 20, 200_000
+#: Chunks of a key whose states are merged at first.
+STATES = 1000
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Runs for a table: by the optimizer's estimate of its size, never fewer than the session's shuffle partitions. No run is cut off: only their size changes."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an estimate beyond a hundred petabytes is that of a plan whose size isn't known
+    return least if size > 10**17 else max(least, min(-(-size // RUN_BYTES), MOST_RUNS))
+
+
 def sorted_runs(df: DataFrame, by: Sequence[Column], partitions: int | None = None) -> DataFrame:
     """Partitions that are consecutive sorted runs of the whole table."""
-    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    return ranged.sortWithinPartitions(*by)
+    return df.repartitionByRange(partitions or partitions_for(df), *by).sortWithinPartitions(*by)
 
 
 def number_rows(
@@ -136,7 +149,10 @@ def number_rows(
     carries = ordered.select("pid", "first", "last", "tail", "whole").mapInPandas(carry, "_ch_pid int, _ch_carry long")
     joined = runs.join(F.broadcast(carries), "_ch_pid", "left")
     place = [F.col("_ch_pid").alias(position[0]), F.col("_ch_idx").alias(position[1])] if position else []
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *place, (F.col("_ch_run") + F.when(F.col("_ch_lead"), F.coalesce("_ch_carry", F.lit(0))).otherwise(0)).alias(out))
+    numbered = joined.select(*[F.col(f"`{c}`") for c in df.columns], *place, (F.col("_ch_run") + F.when(F.col("_ch_lead"), F.coalesce("_ch_carry", F.lit(0))).otherwise(0)).alias(out))
+    # ws.drop of the result removes the runs, once it has been written
+    numbered._quadloom_path = runs._quadloom_path
+    return numbered
 
 
 def key_states(df: DataFrame, keys: Sequence[str], distinct: Sequence[str], low_high: str, tie: str, ws: Workspace, chunk_rows: int = 100_000) -> DataFrame:
@@ -160,7 +176,7 @@ def key_states(df: DataFrame, keys: Sequence[str], distinct: Sequence[str], low_
     names = [f"k{i}" for i in range(len(keys))] + [f"d{i}" for i in range(len(distinct))]
     slim = df.select(*[F.col(c).alias(n) for c, n in zip([*keys, *distinct], names)], at.alias("at"), F.col(tie).alias("tie"))
     kn, dn = names[: len(keys)], names[len(keys) :]
-    numbered = number_rows(slim, kn, [*dn, "tie"], ws, out="row_no", position=("pid", "idx")).drop("tie")
+    numbered = number_rows(slim, kn, [*dn, "tie"], ws, out="row_no", position=("pid", "idx"))
     kf, df_ = [slim.schema[n] for n in kn], [slim.schema[n] for n in dn]
     schema = T.StructType(
         [*kf, *(T.StructField(n, T.LongType()) for n in ("first_row", "n", "lo", "hi", "d")), T.StructField("open", T.BooleanType()), *(T.StructField(f"{w}_{x.name}", x.dataType) for w in ("f", "l") for x in df_)]
@@ -245,16 +261,21 @@ def key_states(df: DataFrame, keys: Sequence[str], distinct: Sequence[str], low_
 
     from pyspark.sql import Window as W
 
-    table = ws.table(numbered.mapInArrow(states, schema), "states")
+    table = ws.table(numbered.drop("tie").mapInArrow(states, schema), "states")
+    ws.drop(numbered)
     final = table.where("NOT open").select(*kn, "n", "lo", "hi", "d", F.lit(1).alias("chunks"))
-    w = W.partitionBy(*kn).orderBy("first_row")
-    ends = {x: F.struct(*[F.col(f"{x}_{n}").alias(n) for n in dn]) for x in ("f", "l")}
     some = F.coalesce(*[F.col(f"f_{n}").cast("string") for n in dn]).isNotNull()
-    merged = (
-        table.where("open")
-        .withColumn("twice", (F.lag(ends["l"]).over(w).eqNullSafe(ends["f"]) & some).cast("long"))
-        .groupBy(*kn)
-        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("d") - F.sum("twice")).alias("d"), F.count(F.lit(1)).cast("int").alias("chunks"))
-    )
+    ends = {x: F.struct(*[F.col(f"{x}_{n}").alias(n) for n in dn]) for x in ("f", "l")}
+
+    def merge(rows: DataFrame, by: list[str]) -> DataFrame:
+        """Neighbouring states of a key to one, in the order of their rows."""
+        w = W.partitionBy(*kn, *by).orderBy("first_row")
+        twice = rows.withColumn("twice", (F.lag(ends["l"]).over(w).eqNullSafe(ends["f"]) & some).cast("long"))
+        at_ends = [F.min_by(f"f_{n}", "first_row").alias(f"f_{n}") for n in dn] + [F.max_by(f"l_{n}", "first_row").alias(f"l_{n}") for n in dn]
+        return twice.groupBy(*kn, *by).agg(F.min("first_row").alias("first_row"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("d") - F.coalesce(F.sum("twice"), F.lit(0))).alias("d"), F.sum("chunks").cast("int").alias("chunks"), *at_ends)
+
+    # a hot key has a state a chunk: stretches of it are merged first, so that no task gets them all
+    stretches = merge(table.where("open").withColumns({"stretch": F.floor(F.col("first_row") / (chunk_rows * STATES)), "chunks": F.lit(1)}), ["stretch"])
+    merged = merge(stretches, []).select(*kn, "n", "lo", "hi", "d", "chunks")
     back = (lambda c: F.timestamp_micros(c).cast("timestamp_ntz")) if lh == "timestamp_ntz" else (lambda c: F.timestamp_micros(c)) if lh == "timestamp" else (lambda c: F.col(c).cast(lh))
     return final.unionByName(merged).select(*[F.col(n).alias(k) for n, k in zip(kn, keys)], F.col("n").alias("n_rows"), back("lo").alias("lowest"), back("hi").alias("highest"), F.col("d").alias("n_distinct"), F.col("chunks").alias("n_chunks"))

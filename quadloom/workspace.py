@@ -28,7 +28,8 @@ class Workspace:
     """A folder of this run's intermediate tables.
 
     A written table is read back with a fresh plan, so a lost executor costs a re-read and never a
-    recomputation of the rounds before. ``drop`` removes what later rounds no longer need.
+    recomputation of the rounds before. ``drop`` removes what later rounds no longer need, ``close`` all of it; what is left
+    when the driver ends goes with it.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -41,6 +42,9 @@ class Workspace:
         path = f"{self.root}/{self._n:04d}-{name}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        if self._n == 1:
+            at, files = self._at(self.root)
+            files.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quadloom_path = path
         return out
@@ -51,11 +55,19 @@ class Workspace:
         out = self.table(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
         return out, seen.get["n"] or 0
 
+    def _at(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables written here that nothing will read again."""
-        jvm = self.spark._jvm
         for t in tables:
             path = getattr(t, "_quadloom_path", None)
             if path and path.startswith(self.root):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                at, files = self._at(path)
+                files.delete(at, True)
+
+    def close(self) -> None:
+        """Deletes all tables written here; results that read them can't be used any more."""
+        at, files = self._at(self.root)
+        files.delete(at, True)
