@@ -477,13 +477,18 @@ def nquads(quads: DataFrame) -> DataFrame:
     return quads.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").select(F.concat(term(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), term(F.col("o")), g, F.lit(" .")).alias("value"))
 
 
-def write_nquads(quads: DataFrame, path: str) -> None:
-    """Writes files *.nq.gz that read_rdf reads: the text writer's part files, renamed with their format."""
-    spark = quads.sparkSession
-    nquads(quads).write.option("compression", "gzip").text(path)
+def write_lines(lines: DataFrame, path: str, extension: str, **options: object) -> None:
+    """Writes the text column of a table to files of a format: the text writer's part files, renamed. Every line, or file, has to be a document of it."""
+    spark = lines.sparkSession
+    lines.write.options(compression="gzip", **options).text(path)
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "part-*.txt.gz")):
         name = st.getPath().getName()
-        fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.replace(".txt.gz", ".nq.gz")))
+        fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.replace(".txt.gz", f".{extension}.gz")))
+
+
+def write_nquads(quads: DataFrame, path: str) -> None:
+    """Writes files *.nq.gz that read_rdf reads."""
+    write_lines(nquads(quads), path, "nq")

@@ -38,6 +38,7 @@ class Spec:
 L, D, TS = "bigint", "double", "timestamp_ntz"
 N1 = "'http://data.example/"
 _CNT = {"n": L}
+_K = "'https://voc.kelmar.example/ns#"
 _DAY = "2024-01-01T00:00:00"
 
 SPECS: dict[str, Spec] = {
@@ -147,6 +148,27 @@ SPECS: dict[str, Spec] = {
     "expr_datetime_terms": Spec("SELECT ?h (COUNT(*) AS ?n) {?s k:logged ?t BIND(HOURS(?t) AS ?h)} GROUP BY ?h", r"SELECT CASE WHEN o.dt = 'xsd:dateTime' AND regexp_matches(o.v, '^\s*-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?\s*$') THEN try_cast(regexp_extract(o.v, 'T([0-9]{2}):', 1) AS BIGINT) END AS h, count(*) AS n FROM quads WHERE p = 'https://voc.kelmar.example/ns#logged' GROUP BY 1", {"h": L, "n": L}, table="quads"),
     "expr_hash": Spec("SELECT ?n ?a ?b ?c {?x ns:n_name ?n BIND(MD5(?n) AS ?a) BIND(SHA1(?n) AS ?b) BIND(SHA256(?n) AS ?c)}", "SELECT n_name AS n, md5(n_name) AS a, sha1(n_name) AS b, sha256(n_name) AS c FROM nation"),
     "expr_hash_customer": Spec("SELECT ?n ?a ?b ?c {?x ns:c_name ?n BIND(MD5(?n) AS ?a) BIND(SHA1(?n) AS ?b) BIND(SHA256(?n) AS ?c)}", "SELECT c_name AS n, md5(c_name) AS a, sha1(c_name) AS b, sha256(c_name) AS c FROM customer"),
+    "bgp_repeated_tree": Spec("SELECT ?p (COUNT(*) AS ?n) {?x ?p ?x} GROUP BY ?p", "SELECT p, count(*) AS n FROM tree_quads WHERE s.k = o.k AND s.v = o.v GROUP BY p", _CNT, table="tree_quads"),
+    "path_negated_subjects": Spec("SELECT ?s (COUNT(*) AS ?n) {?s !(k:berthedBy|k:cargoOf) ?o} GROUP BY ?s", "SELECT s.v AS s, count(*) AS n FROM quads WHERE p NOT IN ('https://voc.kelmar.example/ns#berthedBy', 'https://voc.kelmar.example/ns#cargoOf') GROUP BY s.v", _CNT, table="quads"),
+    "exists_maybe_unbound": Spec(
+        "SELECT ?s {?s k:near ?x OPTIONAL {?s k:within ?y} FILTER EXISTS {?z k:partOf ?y}}",
+        f"SELECT n.s.v AS s FROM tree_quads n LEFT JOIN (SELECT s, o FROM tree_quads WHERE p = {_K}within') w ON w.s.v = n.s.v AND w.s.k = n.s.k WHERE n.p = {_K}near' AND CASE WHEN w.o IS NULL THEN EXISTS (SELECT 1 FROM tree_quads WHERE p = {_K}partOf') ELSE EXISTS (SELECT 1 FROM tree_quads q WHERE q.p = {_K}partOf' AND q.o.v = w.o.v AND q.o.k = w.o.k AND q.o.dt IS NOT DISTINCT FROM w.o.dt) END",
+        table="tree_quads",
+    ),
+    "minus_maybe_unbound": Spec(
+        "SELECT ?s {?s k:near ?x OPTIONAL {?s k:within ?y} MINUS {?z k:partOf ?y}}",
+        f"SELECT n.s.v AS s FROM tree_quads n LEFT JOIN (SELECT s, o FROM tree_quads WHERE p = {_K}within') w ON w.s.v = n.s.v AND w.s.k = n.s.k WHERE n.p = {_K}near' AND (w.o IS NULL OR NOT EXISTS (SELECT 1 FROM tree_quads q WHERE q.p = {_K}partOf' AND q.o.v = w.o.v AND q.o.k = w.o.k AND q.o.dt IS NOT DISTINCT FROM w.o.dt))",
+        table="tree_quads",
+    ),
+    "agg_sum_large": Spec("SELECT (SUM(?x) AS ?n) {?o ns:o_custkey ?c BIND(xsd:decimal(?c) * 0 + 620000000000000 AS ?x)}", "SELECT CAST(CAST(620000000000000 AS DECIMAL(20, 0)) * CAST(count(*) AS DECIMAL(18, 0)) AS DECIMAL(38, 18)) AS n FROM orders", {"n": "decimal(38,18)"}),
+    "agg_min_max_distinct": Spec("SELECT ?c (MIN(DISTINCT ?t) AS ?a) (MAX(DISTINCT ?t) AS ?b) {?o ns:o_custkey ?c ; ns:o_totalprice ?t} GROUP BY ?c", "SELECT o_custkey AS c, min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders GROUP BY o_custkey", {"c": L, "a": D, "b": D}),
+    "expr_decimal": Spec(
+        "SELECT ?id ?a ?b ?c ?d {?s ns:s_suppkey ?id BIND(xsd:decimal(?id) / 0.0000004 AS ?a) BIND(xsd:decimal(?id) * 0.0000000004 AS ?b) BIND((?id + 3000000000000000.5) / 0.5 AS ?c) BIND((?id + 0.123456789) * 0.000000001 AS ?d)}",
+        "SELECT s_suppkey AS id, CAST(s_suppkey AS DECIMAL(38, 18)) * 2500000 AS a, CAST(CAST(s_suppkey AS DECIMAL(18, 0)) * 0.0000000004 AS DECIMAL(38, 18)) AS b, CAST(2 * (CAST(s_suppkey AS DECIMAL(18, 0)) + 3000000000000000.5) AS DECIMAL(38, 18)) AS c, CAST(CAST(CAST(s_suppkey AS DECIMAL(18, 0)) + 0.123456789 AS DECIMAL(19, 9)) * 0.000000001 AS DECIMAL(38, 18)) AS d FROM supplier",
+        {"id": L, **{x: "decimal(38,18)" for x in "abcd"}},
+    ),
+    "expr_datetime_zone": Spec("SELECT ?z (COUNT(*) AS ?n) {?s k:logged ?t BIND(TZ(?t) AS ?z)} GROUP BY ?z", r"SELECT CASE WHEN o.dt = 'xsd:dateTime' AND regexp_matches(o.v, '^\s*-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?\s*$') THEN regexp_extract(trim(o.v), '(Z|[+-][0-9]{2}:[0-9]{2})$', 1) END AS z, count(*) AS n FROM quads WHERE p = 'https://voc.kelmar.example/ns#logged' GROUP BY 1", _CNT, table="quads"),
+    "expr_casts_from_text": Spec('SELECT ?id ?a ?b ?c ?d {?s ns:s_suppkey ?id BIND(xsd:decimal(CONCAT(STR(?id), ".50")) AS ?a) BIND(xsd:date(CONCAT("2020-01-", IF(?id < 10, "0", ""), STR(?id))) AS ?b) BIND(xsd:float(STR(?id)) AS ?c) BIND(isNumeric(?id) AS ?d)}', "SELECT s_suppkey AS id, CAST(s_suppkey + 0.5 AS DECIMAL(38, 18)) AS a, CASE WHEN s_suppkey BETWEEN 1 AND 31 THEN DATE '2020-01-01' + CAST(s_suppkey - 1 AS INT) END AS b, CAST(s_suppkey AS FLOAT) AS c, true AS d FROM supplier", {"id": L, "a": "decimal(38,18)", "b": "date", "c": "float", "d": "boolean"}),
     "expr_cast": Spec("SELECT ?id ?a ?b ?c ?d ?e {?s ns:s_suppkey ?id ; ns:s_acctbal ?x ; ns:s_name ?n BIND(xsd:integer(?x) AS ?a) BIND(xsd:string(?id) AS ?b) BIND(xsd:double(?id) AS ?c) BIND(xsd:boolean(?id) AS ?d) BIND(xsd:integer(?n) AS ?e)}", "SELECT s_suppkey AS id, CAST(trunc(s_acctbal) AS BIGINT) AS a, CAST(s_suppkey AS VARCHAR) AS b, CAST(s_suppkey AS DOUBLE) AS c, s_suppkey <> 0 AS d, CAST(NULL AS BIGINT) AS e FROM supplier", {"id": L, "a": L, "c": D, "d": "boolean", "e": L}),
 }
 
@@ -172,8 +194,57 @@ def rdf_read(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("s.v").alias("s"), "p", F.when(F.col("o.k") > 0, F.col("o.v")).alias("o"), F.col("o.dt").alias("dt"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**SPECS, "result_json": result_json, "rdf_read": rdf_read, "result_json_customer": result_json_customer}
+def _written(spark: SparkSession, lines: DataFrame, extension: str, **options: object) -> DataFrame:
+    from .sources.rdf import read_rdf, write_lines
+    from .workspace import Workspace
+
+    path = Workspace(spark, "rdf").root
+    write_lines(lines, path, extension, **options)
+    back = read_rdf(spark, f"{path}/*.{extension}.gz")
+    return back.select(F.col("s.v").alias("s"), "p", F.col("o.v").alias("o"), F.col("o.dt").alias("dt"), F.col("o.lang").alias("lang"), F.col("g.v").alias("g"))
+
+
+def rdf_read_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Statements with values of every kind, ill-typed ones among them, written as N-Quads files and read again."""
+    from .sources.rdf import read_rdf, write_nquads
+    from .workspace import Workspace
+
+    path = Workspace(spark, "rdf").root
+    write_nquads(spark.read.parquet(f"{d}/attr_quads.parquet"), path)
+    back = read_rdf(spark, path + "/*.nq.gz")
+    return back.select(F.when(F.col("s.k") == 1, F.col("s.v")).alias("s"), "p", F.when(F.col("o.k") > 0, F.col("o.v")).alias("o"), F.col("o.dt").alias("dt"))
+
+
+def rdf_read_turtle(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as Turtle files, a document a line, and read again."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    line = F.format_string('@prefix : <http://data.example/ns#> . <http://data.example/customer/%d> :name "%s"@en , \'\'\'%s\'\'\' ; :key %d ; a :Customer .', "c_custkey", "c_name", "c_mktsegment", "c_custkey")
+    return _written(spark, c.select(line.alias("value")), "ttl")
+
+
+def rdf_read_trig(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as TriG files, each market segment a graph, and read again."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    line = F.format_string('@prefix : <http://data.example/ns#> . GRAPH <http://data.example/graph/%s> { <http://data.example/customer/%d> :name "%s" }', F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")), "c_custkey", "c_name")
+    return _written(spark, c.select(line.alias("value")), "trig")
+
+
+def rdf_read_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as RDF/XML, some hundred to a file, and read again."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    node = F.format_string('<x:Customer rdf:about="http://data.example/customer/%d"><x:key rdf:datatype="http://www.w3.org/2001/XMLSchema#integer">%d</x:key><x:name xml:lang="en">%s</x:name></x:Customer>', "c_custkey", "c_custkey", "c_name")
+    files = c.groupBy(F.floor(F.col("c_custkey") / 500).alias("file")).agg(F.concat_ws("", F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://data.example/ns#">'), F.array_join(F.collect_list(node), ""), F.lit("</rdf:RDF>")).alias("value"))
+    return _written(spark, files.select("value"), "rdf", maxRecordsPerFile=1)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**SPECS, "result_json": result_json, "rdf_read": rdf_read, "rdf_read_attributes": rdf_read_attributes, "rdf_read_turtle": rdf_read_turtle, "rdf_read_trig": rdf_read_trig, "rdf_read_xml": rdf_read_xml, "result_json_customer": result_json_customer}
 SQL: dict[str, str] = {k: s.sql for k, s in SPECS.items() if s.sql}
 SQL["rdf_read"] = "SELECT s.v AS s, p, CASE WHEN o.k > 0 THEN o.v END AS o, o.dt AS dt FROM graph_quads"
 SQL["result_json"] = """SELECT '{"r":{"value":"http://data.example/region/' || n_regionkey || '","dataType":"http://www.w3.org/2001/XMLSchema#anyURI","language":null},"n":{"value":"' || n_name || '","dataType":"http://www.w3.org/2001/XMLSchema#string","language":null}}' AS value FROM nation"""
 SQL["result_json_customer"] = """SELECT '{"n":{"value":"' || c_name || '","dataType":"http://www.w3.org/2001/XMLSchema#string","language":null}}' AS value FROM customer"""
+SQL["rdf_read_attributes"] = "SELECT CASE WHEN s.k = 1 THEN s.v END AS s, p, CASE WHEN o.k > 0 THEN o.v END AS o, o.dt AS dt FROM attr_quads WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL"
+_TYPE, _OF = "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p", "'http://data.example/customer/' || c_custkey AS s"
+_KEY = f"SELECT {_OF}, 'http://data.example/ns#key' AS p, CAST(c_custkey AS VARCHAR) AS o, 'xsd:integer' AS dt, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS g FROM customer UNION ALL SELECT {_OF}, {_TYPE}, 'http://data.example/ns#Customer', NULL, NULL, NULL FROM customer UNION ALL SELECT {_OF}, 'http://data.example/ns#name', c_name, 'rdf:langString', 'en', NULL FROM customer"
+SQL["rdf_read_turtle"] = f"{_KEY} UNION ALL SELECT {_OF}, 'http://data.example/ns#name', c_mktsegment, 'xsd:string', NULL, NULL FROM customer"
+SQL["rdf_read_xml"] = _KEY
+SQL["rdf_read_trig"] = f"SELECT {_OF}, 'http://data.example/ns#name' AS p, c_name AS o, 'xsd:string' AS dt, CAST(NULL AS VARCHAR) AS lang, 'http://data.example/graph/' || lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) AS g FROM customer"

@@ -65,3 +65,27 @@ SELECT line_id, CASE WHEN NOT known THEN 'unknown_format' WHEN NOT readable THEN
 WHERE NOT known OR NOT readable OR NOT shaped OR left(x.s, 1) = '"' OR left(x.p, 1) IN ('"', '_') OR left(x.g, 1) = '"' OR {_BAD_IRIS}
   OR (left(x.o, 1) = '"' AND (NOT regexp_full_match(body, '{_KNOWN_ESCAPES}') OR (tagged AND NOT regexp_full_match(tag, '[A-Za-z]+(-[A-Za-z0-9]+)*'))
     OR (NOT tagged AND dt <> '' AND (NOT regexp_full_match(dt, '{_IRI}') OR {_BAD_TEXT}))))"""
+
+
+# fixed values: the declared columns and their types
+_WIDE = """kind anyURI; title string; call_sign string; remark string; keeper anyURI; built_by anyURI; stationed_at anyURI; decks integer; crew_max integer; plate_no integer; mass_tonnes decimal; day_rate decimal;
+beam_metres decimal; engine_load double; drift_coef double; armed boolean; in_service boolean; insured boolean; launched_on date; surveyed_on date; last_ping dateTime; last_fuel dateTime; alt_name string; reserve integer"""
+_TYPED = {
+    "anyURI": "v", "string": "v", "integer": "try_cast(t AS DECIMAL(38, 0))", "decimal": "try_cast(t AS DECIMAL(38, 18))", "double": "CAST(replace(t, 'INF', 'inf') AS DOUBLE) + 0", "boolean": "t IN ('true', '1')",
+    "date": "try_cast(left(t, 10) AS DATE)", "dateTime": "CAST(left(canon, 19) AS TIMESTAMP) + to_microseconds(CAST(rpad(left(canon[20:], 6), 6, '0') AS BIGINT))",
+}
+_COLUMNS = [x.split() for x in _WIDE.replace("\n", " ").split(";")]
+_CELLS = CELL_FAULTS[: CELL_FAULTS.index("SELECT subj, pred, CASE WHEN count(canon)")]
+_CELLS = _CELLS.replace("SELECT DISTINCT p, value_type FROM", "SELECT DISTINCT p, value_type, col_name FROM").replace("s.v AS subj,", "s.v AS subj, col_name, coalesce(loaded_at, TIMESTAMP '0001-01-01') AS loaded, row_id,").replace("SELECT subj, pred, CASE", "SELECT *, CASE")
+WIDE = f"""{_CELLS}, latest AS (SELECT * FROM c WHERE canon IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subj, col_name ORDER BY loaded DESC, row_id DESC) = 1)
+SELECT c.subj, {", ".join(f"any_value(CASE WHEN l.col_name = '{n}' THEN {_TYPED[t]} END) AS {n}".replace("canon", "l.canon").replace("(t ", "(l.t ").replace("(t,", "(l.t,").replace("left(t", "left(l.t").replace("THEN t ", "THEN l.t ").replace("THEN v ", "THEN l.v ") for n, t in _COLUMNS)}
+FROM (SELECT DISTINCT subj FROM c) c LEFT JOIN latest l ON l.subj = c.subj GROUP BY c.subj"""
+
+_CHARS = (("t", "chr(9)"), ("b", "chr(8)"), ("n", "chr(10)"), ("r", "chr(13)"), ("f", "chr(12)"))
+_PLAIN = r"CASE WHEN left(x, 2) IN ('\u', '\U') AND length(x) > 2 THEN chr(CAST('0x' || x[3:] AS INT)) " + " ".join(rf"WHEN x = '\{a}' THEN {b}" for a, b in _CHARS) + r" WHEN left(x, 1) = '\' THEN x[2:] ELSE x END"
+_TEXT = r"array_to_string(list_transform(regexp_extract_all(body, '(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+'), lambda x: " + _PLAIN + "), '')"
+_HEAD, _TAIL = LINE_REJECTS.split("SELECT line_id, CASE WHEN NOT known")
+_IRI_OF = "CASE WHEN left(x.{0}, 1) = '<' THEN substring(x.{0}, 2, length(x.{0}) - 2)"
+LOADED = f"""{_HEAD}SELECT line_id, {_IRI_OF.format('s')} END AS s, {_IRI_OF.format('p')} END AS p, {_IRI_OF.format('o')} WHEN left(x.o, 1) = '"' THEN {_TEXT} END AS o,
+  CASE WHEN left(x.o, 1) <> '"' THEN NULL WHEN tagged THEN 'rdf:langString' WHEN dt = '' THEN 'xsd:string' ELSE replace(substring(dt, 2, length(dt) - 2), '{_XSD}', 'xsd:') END AS dt,
+  CASE WHEN left(x.o, 1) = '"' AND tagged THEN lower(tag) END AS lang, {_IRI_OF.format('g')} END AS g FROM e WHERE ({_TAIL[_TAIL.index('WHERE') + 5:]}) IS NOT TRUE"""
