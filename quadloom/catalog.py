@@ -32,6 +32,11 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).descendants()
 
 
+def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants of every node as an interval of its root's numbers."""
+    return _tree(spark, d).intervals()
+
+
 def _circled(spark: SparkSession, d: str) -> hierarchy.Circled:
     return hierarchy.circled(_tree(spark, d), Workspace(spark, "circled"))
 
@@ -108,7 +113,13 @@ def p5_statements(spark: SparkSession, d: str) -> DataFrame:
     return rejects.load_lines(_read(spark, d, "rdf_lines")).where("status = 'valid'").select("line_id", "path", "s", "p", "o", "g")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_circle_paths, p1_circle_descendants, p2_found, p2_keys, p3_counts, p3_day_overlap, p4_found, p4_wide, p5_found, p5_statements)}
+def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of the loaded statements as flat columns; blank nodes without their names."""
+    rows = rejects.load_lines(_read(spark, d, "rdf_lines")).where("status = 'valid'")
+    return rows.select("line_id", F.when(F.col("s.k") == 1, F.col("s.v")).alias("s"), "p", F.when(F.col("o.k") > 0, F.col("o.v")).alias("o"), F.col("o.dt").alias("dt"), F.col("o.lang").alias("lang"), F.when(F.col("g.k") == 1, F.col("g.v")).alias("g"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_intervals, p1_circle_paths, p1_circle_descendants, p2_found, p2_keys, p3_counts, p3_day_overlap, p4_found, p4_wide, p5_found, p5_statements, p5_loaded)}
 
 _LINKS = """links AS (
   SELECT DISTINCT CASE WHEN p LIKE '%#contains' THEN o.v ELSE s.v END AS child, CASE WHEN p LIKE '%#contains' THEN s.v ELSE o.v END AS parent
@@ -147,5 +158,7 @@ UNION ALL SELECT 'subj', s.v FROM quads GROUP BY s.v HAVING count(*) >= 0.02 * (
     "p2_keys": """SELECT 'pred' AS pos, p AS key_iri, count(*) AS n_rows, min(stated_at) AS earliest, max(stated_at) AS latest, count(DISTINCT o) AS n_objects FROM quads WHERE p IS NOT NULL GROUP BY p
 UNION ALL SELECT 'subj', s.v, count(*), min(stated_at), max(stated_at), count(DISTINCT o) FROM quads WHERE s.v IS NOT NULL GROUP BY s.v""",
     "p4_found": statement_sql.CELL_FAULTS,
+    "p4_wide": statement_sql.WIDE,
     "p5_found": statement_sql.LINE_REJECTS,
+    "p5_loaded": statement_sql.LOADED,
 }

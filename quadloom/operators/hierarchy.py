@@ -80,6 +80,10 @@ class Hierarchy:
         circles = self.nodes.where("depth < 0").select("node", "parent", "root", F.col("depth").cast("long").alias("depth"), F.lit(None).cast("long").alias("n_descendants"), F.lit(None).cast("long").alias("lft"), F.lit(None).cast("string").alias("path"))
         return with_path.unionByName(circles)
 
+    def intervals(self) -> DataFrame:
+        """node, root, lft, first, last: the descendants of a node are those of its root whose lft lies between first and last (none if last < first); one row a node, however many descendants it has."""
+        return self.nodes.where("depth >= 0").select("node", "root", "lft", (F.col("lft") + 1).alias("first"), (F.col("lft") + F.col("size") - 1).alias("last"))
+
     def descendants(self) -> DataFrame:
         """(node, descendant, distance): every node of a tree with every node below it, which are those numbered from lft + 1 to lft + size - 1."""
         tree = self.nodes.where("depth >= 0").select("node", "root", "depth", "lft", (F.col("lft") + F.col("size") - 1).alias("last"))
