@@ -150,21 +150,22 @@ class Sketch:
 
 
 def joint(u: Sketch, v: Sketch) -> dict[str, float]:
-    """Union, intersection and Jaccard of two sets by maximum likelihood, with the standard error of Jaccard.
+    """Union, intersection and Jaccard of two sets by maximum likelihood, with the standard error of each.
 
     Two exact sets give exact numbers. Else both counts are held at their estimates and the likelihood of the
-    numbers of greater, smaller and equal registers is maximised over the Jaccard index; the error is that of the
-    Fisher information at the maximum.
+    numbers of greater, smaller and equal registers is maximised over the Jaccard index; its error is that of the
+    Fisher information at the maximum. Those of union and intersection follow from it and from the errors of both counts, taken as independent.
     """
     if u.reg is None and v.reg is None:
         a, b = (np.unique(np.concatenate(s.parts)) if s.parts else np.empty(0, np.int64) for s in (u, v))
         inter = len(np.intersect1d(a, b, assume_unique=True))
         union = len(a) + len(b) - inter
-        return {"union": float(union), "intersection": float(inter), "jaccard": inter / union if union else 0.0, "jaccard_error": 0.0}
+        return {"union": float(union), "intersection": float(inter), "jaccard": inter / union if union else 0.0, "jaccard_error": 0.0, "union_error": 0.0, "intersection_error": 0.0}
     c = u.c
-    nu, nv = u.count()[0], v.count()[0]
+    (nu, eu), (nv, ev) = u.count(), v.count()
+    counts = math.hypot(nu * eu, nv * ev)  # standard error of nu + nv
     if nu == 0 or nv == 0:
-        return {"union": nu + nv, "intersection": 0.0, "jaccard": 0.0, "jaccard_error": 0.0}
+        return {"union": nu + nv, "intersection": 0.0, "jaccard": 0.0, "jaccard_error": 0.0, "union_error": counts, "intersection_error": 0.0}
     ku, kv = u.registers(), v.registers()
     more, less = int((ku > kv).sum()), int((ku < kv).sum())
     same = c.m - more - less
@@ -199,7 +200,12 @@ def joint(u: Sketch, v: Sketch) -> dict[str, float]:
     for x, y, z in zip(probabilities(at - step), probabilities(at + step), probabilities(at)):
         info += c.m * ((y - x) / (2 * step)) ** 2 / max(z, 1e-12)
     union = (nu + nv) / (1 + j)
-    return {"union": union, "intersection": union * j, "jaccard": j, "jaccard_error": 1 / math.sqrt(info) if info > 0 else 0.0}
+    error = 1 / math.sqrt(info) if info > 0 else 0.0
+    by_j = (nu + nv) / (1 + j) ** 2 * error  # the slope of both in the Jaccard index is the same but for its sign
+    return {
+        "union": union, "intersection": union * j, "jaccard": j, "jaccard_error": error,
+        "union_error": math.hypot(counts / (1 + j), by_j), "intersection_error": math.hypot(counts * j / (1 + j), by_j),
+    }
 
 
 # ---- distributed ----
@@ -374,9 +380,9 @@ def estimates(merged: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def joints(pairs: DataFrame, left: str, right: str, config: Config = Config()) -> DataFrame:
-    """Adds n_union, n_intersection, jaccard and jaccard_error to rows that hold two sketches; a null sketch is an empty set. Drops the sketches."""
+    """Adds n_union, n_intersection, jaccard and the standard error of each to rows that hold two sketches; a null sketch is an empty set. Drops the sketches."""
     keys = [f for f in pairs.schema.fields if f.name not in (left, right)]
-    names = ("n_union", "n_intersection", "jaccard", "jaccard_error")
+    names = ("n_union", "n_intersection", "jaccard", "jaccard_error", "union_error", "intersection_error")
     schema = T.StructType([*keys, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,6 +390,6 @@ def joints(pairs: DataFrame, left: str, right: str, config: Config = Config()) -
             a, c = (b.column(b.schema.get_field_index(x)).to_pylist() for x in (left, right))
             got = [joint(Sketch.load(config, x or b"S"), Sketch.load(config, y or b"S")) for x, y in zip(a, c)]
             cols = [b.column(b.schema.get_field_index(k.name)) for k in keys]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([g[n] for g in got], type=pa.float64()) for n in ("union", "intersection", "jaccard", "jaccard_error"))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([g[n] for g in got], type=pa.float64()) for n in ("union", "intersection", "jaccard", "jaccard_error", "union_error", "intersection_error"))], names=schema.names)
 
     return pairs.mapInArrow(run, schema)

@@ -87,3 +87,20 @@ def test_joints_table(spark):
     s = S.merge(S.partials(df, ["g"], "h")).selectExpr("sketch AS l", "sketch AS r").union(spark.sql("SELECT CAST(NULL AS BINARY), CAST(NULL AS BINARY)"))
     got = sorted((round(r.jaccard, 3), r.n_union) for r in S.joints(s, "l", "r").collect())
     assert got[0] == (0.0, 0.0) and got[1][0] > 0.99
+
+
+def test_errors_of_union_and_intersection_hold():
+    import numpy as np
+
+    rnd, c = np.random.default_rng(5), S.Config()
+    far = {"union": 0, "intersection": 0}
+    for i in range(40):
+        both, only = rnd.integers(0, 2**62, 4000), rnd.integers(0, 2**62, (2, 3000))
+        u, v = S.Sketch(c), S.Sketch(c)
+        u.add_hashes(np.concatenate([both, only[0]]))
+        v.add_hashes(np.concatenate([both, only[1]]))
+        got = S.joint(u, v)
+        for name, true in (("union", 10_000), ("intersection", 4000)):
+            assert 0 < got[f"{name}_error"] < 0.15 * true
+            far[name] += abs(got[name] - true) > 2 * got[f"{name}_error"]
+    assert max(far.values()) <= 6
